@@ -8,9 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsengine.llm.bpe import bpe_decode, bpe_encode
+from newsengine.llm.quality import COUNTS, fit_forests, judge_quality
+from newsengine.llm.tiff import tiff_pages, tiff_store
+from newsengine.llm.urls import UrlRule, judge_urls, mine_rules
 
 #: Vocabulary file of the encoding query.
 BPE_FILE = "byte_bpe_50k.json"
+#: The stated rules of the URL query.
+URL_RULES = [
+    UrlRule("block", "com", "en/"),
+    UrlRule("allow", "example.com", "en/7"),
+    UrlRule("allow", "net", "de/"),
+    UrlRule("block", "example.net", "de/8"),
+    UrlRule("block", "org", "es/"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +34,39 @@ def vocabulary(name: str = BPE_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every URL of ``pages``; rules are mined from pages whose id is labelled (blocked: quality 0)."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("blocked"))
+    mined = mine_rules(pages.join(labels, "page_id"))
+    return judge_urls(pages, URL_RULES, mined).select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every whole text of ``documents`` with forests calibrated on ``labels``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forests = fit_forests(docs, table(spark, sf_dir, "labels"))
+    return judge_quality(docs, forests, keep=["doc_id"]).select("doc_id", *COUNTS[:5], "base_failed", "kept", F.round("score", 6).alias("score"))
+
+
+def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every whole text of ``documents`` as a TIFF page, read it back and digest it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sized = docs.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    stored = tiff_store(sized, keep=["doc_id", "n_bytes"])
+    pages = tiff_pages(stored, keep=["doc_id", "n_bytes", "media"])
+    return pages.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("pixels").cast("long").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pixels", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def bpe_digests(docs: DataFrame) -> DataFrame:
     ids = bpe_encode(docs.select("doc_id", "text"), vocabulary(), keep=["doc_id"])
     both = bpe_decode(ids, vocabulary(), keep=["doc_id", "ids"])
@@ -40,7 +84,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_bpe": op10_bpe}
+    return {f.__name__: f for f in (op1_url_filters, op3_quality_rules, op8_tiff, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
