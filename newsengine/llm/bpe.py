@@ -12,8 +12,10 @@ from __future__ import annotations
 import heapq
 import json
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -23,7 +25,7 @@ from newsengine.llm.frames import map_columns
 # The published pre-tokenization pattern of byte-level BPE.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: A word cache larger than this is emptied; it bounds a worker's memory.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 500_000
 #: Longer words are not kept in the cache.
 CACHED_LENGTH = 64
 #: Words of more bytes are merged with a heap.
@@ -62,12 +64,24 @@ class SpeculativeBpe:
             self.made.append(vocab[x + y])
         self.none = len(self.made)
         self.first = [self.ids.get(bytes([i]), 0) for i in range(256)]
-        self.longest: dict[bytes, int] = {}
-        for t in self.ids:
-            self.longest[t[:4]] = max(self.longest.get(t[:4], 0), len(t))
+        # A trie in one dictionary: node * 256 + byte leads to the next node, whose token is -1 if there is none.
+        self.trie: dict[int, int] = {}
+        self.ends = [-1]
+        for t, i in self.ids.items():
+            node = 0
+            for c in t:
+                key = node * 256 + c
+                node = self.trie.get(key, 0)
+                if not node:
+                    node = self.trie[key] = len(self.ends)
+                    self.ends.append(-1)
+            self.ends[node] = i
         self.words = regex.compile(WORD_PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {s: (i,) for s, i in self.special.items()}
+        self.sizes = np.array([len(t) for t in self.token], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(self.token), np.uint8)
         self.checked: dict[int, bool] = {}
         self.sound: dict[int, bool] = {}
 
@@ -110,14 +124,19 @@ class SpeculativeBpe:
         return [t for t in tok if t >= 0]
 
     def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match from the left."""
-        out, at, n, ids, longest = [], 0, len(word), self.ids, self.longest
-        while at < n:
-            for size in range(min(n - at, longest.get(word[at : at + 4], 3)), 0, -1):
-                if (t := ids.get(word[at : at + size])) is not None:
-                    out.append(t)
-                    at += size
+        """Greedy longest match from the left, by walks down the trie."""
+        out, start, n, get, ends = [], 0, len(word), self.trie.get, self.ends
+        while start < n:
+            node, at, best, after = 0, start, -1, start + 1
+            while at < n:
+                node = get(node * 256 + word[at])
+                if node is None:
                     break
+                at += 1
+                if ends[node] >= 0:
+                    best, after = ends[node], at
+            out.append(best)
+            start = after
         return out
 
     def compatible(self, keys: np.ndarray) -> np.ndarray:
@@ -158,43 +177,48 @@ class SpeculativeBpe:
                 bad[owner[1:][inside][~self.compatible(keys)]] = True
         return [tuple(self.merge(raw[i])) if bad[i] else tuple(g) for i, g in enumerate(guess)]
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text; null and empty texts have none."""
         if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        if len(self.checked) > 2 * CACHED_WORDS:
+            self.cache = {s: (i,) for s, i in self.special.items()}
+        if len(self.checked) > CACHED_WORDS:
             self.checked.clear()
         cache, find, special = self.cache, self.words.findall, self.special
-        pieces: list[list[str | int]] = []
-        new: dict[str, None] = {}
+        pieces: list[list[str]] = []
         for text in texts:
-            parts: list[str | int] = []
+            parts: list[str] = []
             for part in self.cut.split(text) if text and self.cut else [text or ""]:
-                if part in special:
-                    parts.append(special[part])
-                elif part:
-                    found = find(part)
-                    parts += found
-                    new.update((w, None) for w in found if w not in cache)
+                parts += [part] if part in special else find(part)
             pieces.append(parts)
-        fresh = list(new)
-        local = dict(zip(fresh, self.encode_words(fresh), strict=True))
-        cache.update((w, t) for w, t in local.items() if len(w) <= CACHED_LENGTH)
-        long = {w: t for w, t in local.items() if len(w) > CACHED_LENGTH}
-        out = []
-        for parts in pieces:
-            ids: list[int] = []
-            for w in parts:
-                if isinstance(w, int):
-                    ids.append(w)
-                else:
-                    ids += cache[w] if w in cache else long[w]
-            out.append(ids)
+        seen: set[str] = set().union(*pieces)
+        new = [w for w in seen if w not in cache]
+        cache.update(zip(new, self.encode_words(new), strict=True))
+        out = [np.fromiter(chain.from_iterable(map(cache.__getitem__, parts)), np.int32) for parts in pieces]
+        for w in new:
+            if len(w) > CACHED_LENGTH:
+                del cache[w]
         return out
 
-    def decode(self, ids: list[int] | None) -> str:
-        """Text of ids, special tokens as their strings; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.token.__getitem__, ids or ())).decode("utf-8", "replace")
+    def decode_batch(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Texts of the ids between consecutive offsets; bytes that are no UTF-8 become U+FFFD."""
+        ids = ids[offsets[0] : offsets[-1]]
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.blob[np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        cuts = ends[offsets - offsets[0]]
+        try:
+            data.decode("utf-8")
+            inner = cuts[cuts < len(data)]
+            whole = not len(inner) or not ((np.frombuffer(data, np.uint8)[inner] & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            whole = False
+        if whole and len(data) < 1 << 31:
+            return pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data))
+        return pa.array([data[i:j].decode("utf-8", "replace") for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.string())
+
+    def decode(self, ids: list[int]) -> str:
+        """Text of one list of ids, special tokens as their strings."""
+        return self.decode_batch(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0].as_py()
 
 
 @lru_cache(maxsize=2)
@@ -215,9 +239,16 @@ def bpe_encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col
 
     def make():
         bpe = loaded(vocab_path)
-        return lambda texts: (bpe.encode_batch(texts),)
 
-    return map_columns(docs, docs.columns if keep is None else keep, [text_col], [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))], make)
+        def work(texts):
+            ids = bpe.encode_batch(texts)
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
+            return (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, type=pa.list_(pa.field("element", pa.int32(), False))),)
+
+        return work
+
+    return map_columns(docs, docs.columns if keep is None else keep, [text_col], [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))], make, rows=256)
 
 
 def bpe_decode(docs: DataFrame, vocab_path: str, ids_col: str = "ids", text_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -225,6 +256,11 @@ def bpe_decode(docs: DataFrame, vocab_path: str, ids_col: str = "ids", text_col:
 
     def make():
         bpe = loaded(vocab_path)
-        return lambda ids: ([bpe.decode(x) for x in ids],)
 
-    return map_columns(docs, docs.columns if keep is None else keep, [ids_col], [T.StructField(text_col, T.StringType())], make)
+        def work(ids):
+            filled = ids.fill_null([])
+            return (bpe.decode_batch(filled.values.to_numpy(), filled.offsets.to_numpy().astype(np.int64)),)
+
+        return work
+
+    return map_columns(docs, docs.columns if keep is None else keep, [ids_col], [T.StructField(text_col, T.StringType())], make, rows=256, lists=False)

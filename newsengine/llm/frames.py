@@ -52,11 +52,12 @@ def fresh(df: DataFrame, *names: str) -> str | tuple[str, ...]:
     return out[0] if len(out) == 1 else tuple(out)
 
 
-def map_columns(df: DataFrame, keep: list[str], inputs: list[str], fields: list[T.StructField], make: Callable[[], Callable[..., tuple]], rows: int = 512) -> DataFrame:
+def map_columns(df: DataFrame, keep: list[str], inputs: list[str], fields: list[T.StructField], make: Callable[[], Callable[..., tuple]], rows: int = 512, lists: bool = True) -> DataFrame:
     """Add columns that a Python function computes from Arrow batches.
 
-    ``make()`` runs once in each task and gives a function from one list per
-    input column to one list (or array) per field. The result holds ``keep``
+    ``make()`` runs once in each task and gives a function from one list (or,
+    without ``lists``, Arrow array) per input column to one list or array per
+    field. The result holds ``keep``
     without names that ``fields`` replaces, then ``fields``. Batches are cut
     to ``rows`` rows so that long texts do not pile up.
     """
@@ -72,7 +73,8 @@ def map_columns(df: DataFrame, keep: list[str], inputs: list[str], fields: list[
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 part = whole.slice(at, rows)
-                made = work(*[part.column(n + i).to_pylist() for i in range(len(inputs))])
+                given = [part.column(n + i) for i in range(len(inputs))]
+                made = work(*[x.to_pylist() for x in given] if lists else given)
                 cols = [part.column(i) for i in range(n)]
                 cols += [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, t) for x, t in zip(made, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
