@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsengine.llm.bpe import bpe_decode, bpe_encode
+from newsengine.llm.chat import fit_hmm, format_chats
+from newsengine.llm.frames import cut
+from newsengine.llm.html import extract_main_text, fit_labeller
+from newsengine.llm.licenses import default_templates, scan_licenses
+from newsengine.llm.mixing import domain_posteriors, fit_domains, fit_rates, mix
 from newsengine.llm.quality import COUNTS, fit_forests, judge_quality
 from newsengine.llm.tiff import tiff_pages, tiff_store
 from newsengine.llm.urls import UrlRule, judge_urls, mine_rules
@@ -42,6 +47,25 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, URL_RULES, mined).select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")
 
 
+def document_files(docs: DataFrame) -> DataFrame:
+    """Documents as files: ``source/lang/k/j/doc_id.txt`` with k and j the id by ten thousands and hundreds.
+
+    A document of at most 16 words that states a licence is a licence file and
+    sits two directories higher, in ``source/lang``.
+    """
+    brief = F.size(F.array_remove(F.split("text", "[\\s]+"), "")) <= 16
+    named = brief & F.lower("text").rlike("licen[cs]e")
+    top = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")))
+    low = F.concat_ws("/", top, F.floor(F.col("doc_id") / 10000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"))
+    return docs.select("doc_id", "text", F.concat(F.when(named, top).otherwise(low), F.lit("/"), F.when(named, "LICENSE-").otherwise(""), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+
+
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document, its own or its nearest directory's."""
+    files = document_files(table(spark, sf_dir, "documents"))
+    return scan_licenses(files, default_templates(spark))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every whole text of ``documents`` with forests calibrated on ``labels``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -49,6 +73,49 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(docs, forests, keep=["doc_id"]).select("doc_id", *COUNTS[:5], "base_failed", "kept", F.round("score", 6).alias("score"))
 
 
+#: Target shares of tokens; the tokens of clean documents keep their number.
+MIX = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """Domain of each label: toxic, else low quality, else clean."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when((F.col("toxic") == 0) & (F.col("quality") == 1), "clean").alias("domain"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of every document so that expected tokens of the label domains meet ``MIX``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_domains(docs, label_domains(table(spark, sf_dir, "labels")))
+    posteriors = cut(domain_posteriors(docs, model, keep=["doc_id"]))
+    steps, _, _ = fit_rates(posteriors, model.domains, MIX, anchor="clean")
+    rated = mix(posteriors, steps)
+    return rated.select("doc_id", "n_tokens", *[F.round(F.col("posterior")[k], 6).alias(f"p_{x}") for k, x in enumerate(model.domains)], F.round("rate", 6).alias("rate"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    model = fit_labeller(pages)
+    return extract_main_text(pages, model, keep=["page_id", "url"]).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def transcripts(conversations: DataFrame) -> DataFrame:
+    """Conversations as transcripts: turns lose their role, three of four say who speaks, in one of four styles."""
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(4))
+    names = {"user": ["User: ", "Human: ", "[user] ", "Q: "], "assistant": ["Assistant: ", "AI: ", "[assistant] ", "A: "], "system": ["System: ", "Context: ", "[system] ", "Instructions: "]}
+    mark = F.lit("")
+    for role, marks in names.items():
+        mark = F.when(F.col("role") == role, F.array(*[F.lit(m) for m in marks])[style.cast("int")]).otherwise(mark)
+    said = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) > 0
+    return conversations.withColumn("text", F.concat(F.when(said, mark).otherwise(""), F.coalesce("text", F.lit(""))))
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recover the roles of every conversation's transcript and render its turns."""
+    given = transcripts(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return format_chats(given.drop("role"), fit_hmm(given))
+
+
 def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every whole text of ``documents`` as a TIFF page, read it back and digest it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -84,7 +151,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op3_quality_rules, op8_tiff, op10_bpe)}
+    return {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_quality_rules, op4_mixing, op5_html, op7_chat_formatting, op8_tiff, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
