@@ -13,6 +13,7 @@ from newsengine.llm.frames import cut
 from newsengine.llm.html import extract_main_text, fit_labeller
 from newsengine.llm.licenses import default_templates, scan_licenses
 from newsengine.llm.mixing import domain_posteriors, fit_domains, fit_rates, mix
+from newsengine.llm.neardup import near_duplicates
 from newsengine.llm.quality import COUNTS, fit_forests, judge_quality
 from newsengine.llm.tiff import tiff_pages, tiff_store
 from newsengine.llm.urls import UrlRule, judge_urls, mine_rules
@@ -99,6 +100,11 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(pages, model, keep=["page_id", "url"]).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document: near-duplicates share the least id of their class."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def transcripts(conversations: DataFrame) -> DataFrame:
     """Conversations as transcripts: turns lose their role, three of four say who speaks, in one of four styles."""
     style = F.pmod(F.xxhash64("conv_id"), F.lit(4))
@@ -151,7 +157,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_quality_rules, op4_mixing, op5_html, op7_chat_formatting, op8_tiff, op10_bpe)}
+    return {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_quality_rules, op4_mixing, op5_html, op6_minhash, op7_chat_formatting, op8_tiff, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
