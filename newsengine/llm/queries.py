@@ -15,6 +15,7 @@ from newsengine.llm.licenses import default_templates, scan_licenses
 from newsengine.llm.mixing import domain_posteriors, fit_domains, fit_rates, mix
 from newsengine.llm.neardup import near_duplicates
 from newsengine.llm.quality import COUNTS, fit_forests, judge_quality
+from newsengine.llm.repeats import remove_repeats
 from newsengine.llm.tiff import tiff_pages, tiff_store
 from newsengine.llm.urls import UrlRule, judge_urls, mine_rules
 
@@ -140,6 +141,12 @@ def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every 400-byte string of ``documents`` that occurs twice or more, wherever it occurs."""
+    done = remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def bpe_digests(docs: DataFrame) -> DataFrame:
     ids = bpe_encode(docs.select("doc_id", "text"), vocabulary(), keep=["doc_id"])
     both = bpe_decode(ids, vocabulary(), keep=["doc_id", "ids"])
@@ -157,7 +164,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_quality_rules, op4_mixing, op5_html, op6_minhash, op7_chat_formatting, op8_tiff, op10_bpe)}
+    return {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_quality_rules, op4_mixing, op5_html, op6_minhash, op7_chat_formatting, op8_tiff, op9_repeats, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
