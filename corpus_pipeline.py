@@ -1,8 +1,87 @@
-"""Corpus pipeline: placeholder until its stages land."""
+"""Corpus pipeline: five stages from ``documents`` to tokens.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
+before it kept; all but the last return the columns that they were given.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsengine.llm.bpe import bpe_decode, bpe_encode
+from newsengine.llm.frames import cut, shared_dir
+from newsengine.llm.mixing import domain_posteriors, fit_domains, fit_rates, rate_column, realise
+from newsengine.llm.neardup import near_duplicates
+from newsengine.llm.quality import fit_forests, judge_quality
+from newsengine.llm.queries import MIX, label_domains, vocabulary
+from newsengine.llm.repeats import remove_repeats
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the forests reject."""
+    forests = fit_forests(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judge_quality(docs, forests).where("kept").select(*docs.columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of least id, of each class of near-duplicates; null ids go."""
+    least = near_duplicates(docs).where("doc_id = class_id").select("doc_id")
+    return docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 400-byte strings that occur twice or more; a cut inside a character leaves U+FFFD.
+
+    No document goes: one that is all repeated keeps its row with an empty text.
+    """
+    left = remove_repeats(docs, keep=[c for c in docs.columns if c not in ("text", "n_chars")])
+    text = F.expr("make_valid_utf8(cast(kept as string))")
+    return left.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its rate says, so that the label domains have their target shares of tokens."""
+    model = fit_domains(docs, label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    posteriors = cut(domain_posteriors(docs, model, keep=[]))
+    steps, _, _ = fit_rates(posteriors, model.domains, MIX, anchor="clean")
+    rated = domain_posteriors(docs, model).withColumn("rate", rate_column(steps))
+    return realise(rated).select(*docs.columns)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each whole text, with the digests of the ids and of the text that they decode to."""
+    ids = bpe_encode(docs.select("doc_id", "text"), vocabulary(), keep=["doc_id"])
+    both = bpe_decode(ids, vocabulary(), keep=["doc_id", "ids"])
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("mixing", mixing),
+    ("bpe", bpe),
+]
+
+#: Forests, signatures and a trained classifier have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again by the next."""
+    shared_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
