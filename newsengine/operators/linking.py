@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from newsengine.functions import lexicons as L
 from newsengine.functions import text as X
 from newsengine.operators.vectors import centroid, cosine_similarity, text_for_embedding
+from newsengine.sources.shared import checkpointed
 
 DAY = 86_400_000
 CONTEXT = ["action", "city", "city_conf"]
@@ -192,18 +193,18 @@ def link_incremental(batch: DataFrame, events: DataFrame, links: DataFrame, arti
     made_links = made_events = None
     for k in range(rounds):
         features = event_features(events, links, articles)
-        decided = decide_link(left, score_candidates(left, features, now))
+        decided = checkpointed(decide_link(left, score_candidates(left, features, now)))
         linked = decided.where("action = 'LINK'").select("event_id", "article_id")
         open_ = left.join(decided.where("action = 'CREATE'").select("article_id"), "article_id", "left_semi")
         slot = F.array_position("embedding_vec", F.array_max("embedding_vec"))
         first = Window.partitionBy(slot).orderBy("article_id")
         seeds = open_.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn") if k + 1 < rounds else open_
-        fresh = seeds.select(F.concat(F.lit("ev_"), F.substring(F.sha2(F.col("article_id").cast("string"), 256), 1, 16)).alias("event_id"), "article_id")
+        fresh = checkpointed(seeds.select(F.concat(F.lit("ev_"), F.substring(F.sha2(F.col("article_id").cast("string"), 256), 1, 16)).alias("event_id"), "article_id"))
         new = fresh.select("event_id", F.lit("DETECTED").alias("state"), now.alias("t0"), now.alias("t_last"))
         events = events.unionByName(new, allowMissingColumns=True)
         links = links.unionByName(linked, allowMissingColumns=True).unionByName(fresh, allowMissingColumns=True)
         articles = articles.unionByName(left.join(linked.unionByName(fresh).select("article_id"), "article_id", "left_semi"), allowMissingColumns=True)
-        left = open_.join(seeds.select("article_id"), "article_id", "left_anti")
+        left = checkpointed(open_.join(seeds.select("article_id"), "article_id", "left_anti"))
         step = linked.unionByName(fresh)
         made_links = step if made_links is None else made_links.unionByName(step)
         made_events = new if made_events is None else made_events.unionByName(new)
