@@ -49,7 +49,7 @@ def stated_rule(host: Column, path: Column, rules: list[UrlRule]) -> Column:
         F.when(((host == r.host) | host.endswith(f".{r.host}")) & path.startswith(f"/{r.path}"), F.struct(F.lit(len(r.text)).alias("size"), F.lit(r.text).alias("rule"), F.lit(r.verdict).alias("verdict")))
         for r in rules
     ]
-    return F.array_max(F.array_compact(F.array(*fitting)))
+    return F.array_max(F.array_compact(F.array(*fitting))) if rules else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
 def url_tokens(url: Column) -> Column:
