@@ -17,6 +17,8 @@ Digits are compared by 64-bit polynomial hashes.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -195,6 +197,15 @@ def sort_pass(cells: DataFrame, copies: bool) -> tuple[DataFrame, DataFrame]:
     return settled, onward
 
 
+def deflated(texts: DataFrame, keep: list[str], text_col: str, packed_col: str) -> DataFrame:
+    """``keep`` with the text's UTF-8 bytes deflated, so that a shuffle moves half as much."""
+
+    def make():
+        return lambda values: ([zlib.compress((t or "").encode("utf-8"), 1) for t in values],)
+
+    return map_columns(texts, keep, [text_col], [T.StructField(packed_col, T.BinaryType())], make)
+
+
 def cells_of_texts(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """Cells of the first pass from (did, text)."""
 
@@ -215,14 +226,14 @@ def cells_of_texts(texts: DataFrame, window: int, gram: int) -> DataFrame:
 def stretches_of(texts: DataFrame, cells: DataFrame, window: int) -> DataFrame:
     """The bytes that each cell covers, (did, place, wanted, stretch); a text meets all its cells at once."""
     wanted = cells.groupBy("did").agg(F.collect_list(F.struct("place", "wanted")).alias("cells"))
-    both = texts.join(wanted, "did").select("did", "text", "cells.place", "cells.wanted")
+    both = deflated(texts, ["did"], "text", "packed").join(wanted, "did").select("did", "packed", "cells.place", "cells.wanted")
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 out: list[tuple] = []
                 for row in whole.slice(at, 64).to_pylist():
-                    raw = row["text"].encode("utf-8")
+                    raw = zlib.decompress(row["packed"])
                     for place, want in zip(row["place"], row["wanted"], strict=True):
                         start, count, _ = unpacked(place)
                         out.append((row["did"], place, want, raw[start : start + count - 1 + window]))
@@ -298,14 +309,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     did = F.xxhash64(F.col(id_col), text)
     found = repeated_windows(docs.select(did.alias("did"), text.alias("text")).where(F.octet_length("text") >= window), window, gram)
-    places = found.groupBy("did").agg(F.collect_list("place").alias("__places"))
-    both = docs.select(*own, did.alias("did"), text.alias("__text")).join(places, "did", "left").drop("did")
+    places = found.groupBy(F.col("did").alias("__key")).agg(F.collect_list("place").alias("__places"))
+    slim = deflated(docs.select(*own, did.alias("__did"), text.alias("__text")), [*own, "__did"], "__text", "__packed")
+    both = slim.join(places, F.col("__did") == F.col("__key"), "left").drop("__did", "__key")
 
     def make():
         def work(texts, places_):
             n, removed, runs, kept = [], [], [], []
             for t, p in zip(texts, places_, strict=True):
-                raw = t.encode("utf-8")
+                raw = zlib.decompress(t)
                 gone = spans(p, window)
                 n.append(len(raw))
                 removed.append(sum(b - a for a, b in gone))
@@ -316,4 +328,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return work
 
     fields = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
-    return map_columns(both, own, ["__text", "__places"], fields, make)
+    return map_columns(both, own, ["__packed", "__places"], fields, make)
