@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 WS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -50,10 +57,9 @@ def strip_accents(c: Column) -> Column:
 
 def is_spanish(c: Column) -> Column:
     """False without words; true without stop words; else by the share of Spanish among stop words."""
-    t = tokenize_letters(c)
-    hits = lambda ws: F.size(F.filter(t, lambda x: x.isin(ws)))
-    es, en = hits(L.SPANISH_STOP_WORDS), hits(L.ENGLISH_STOP_WORDS)
-    return F.when(F.size(t) == 0, False).when(es + en == 0, True).otherwise(es / F.greatest(es + en, F.lit(1)) >= L.SPANISH_SHARE)
+    hits = lambda t, ws: F.size(F.filter(t, lambda x: x.isin(ws)))
+    share = lambda es, en: F.when(es + en == 0, True).otherwise(es / F.greatest(es + en, F.lit(1)) >= L.SPANISH_SHARE)
+    return let(tokenize_letters(c), lambda t: F.when(F.size(t) == 0, False).otherwise(let(F.struct(hits(t, L.SPANISH_STOP_WORDS).alias("es"), hits(t, L.ENGLISH_STOP_WORDS).alias("en")), lambda n: share(n["es"], n["en"]))))
 
 
 def strip_html(c: Column) -> Column:
