@@ -24,8 +24,8 @@ from newsengine.llm.frames import map_columns
 
 # The published pre-tokenization pattern of byte-level BPE.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: A word cache larger than this is emptied; it bounds a worker's memory.
-CACHED_WORDS = 500_000
+#: The word cache has two generations of so many words; words of the older one that come again move on.
+CACHED_WORDS = 150_000
 #: Longer words are not kept in the cache.
 CACHED_LENGTH = 64
 #: Words of more bytes are merged with a heap.
@@ -39,26 +39,59 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class SpeculativeBpe:
+class TokenTable:
+    """The bytes of every token."""
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
-        raw = lambda s: bytes(letters[c] for c in s)
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.size = 1 + max([*vocab.values(), *self.special.values()])
         self.token = [b""] * self.size
-        self.ids: dict[bytes, int] = {}
         for s, i in vocab.items():
             if s not in self.special:
-                self.token[i] = raw(s)
-                self.ids[self.token[i]] = i
+                self.token[i] = bytes(letters[c] for c in s)
         for s, i in self.special.items():
             self.token[i] = s.encode()
+        self.sizes = np.array([len(t) for t in self.token], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(self.token), np.uint8)
+        self.prepare(vocab, spec["model"]["merges"])
+
+    def prepare(self, vocab: dict[str, int], merges: list) -> None:
+        """Nothing more is needed to decode."""
+
+    def decode_batch(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Texts of the ids between consecutive offsets; bytes that are no UTF-8 become U+FFFD."""
+        ids = ids[offsets[0] : offsets[-1]]
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.blob[np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        cuts = ends[offsets - offsets[0]]
+        try:
+            data.decode("utf-8")
+            inner = cuts[cuts < len(data)]
+            whole = not len(inner) or not ((np.frombuffer(data, np.uint8)[inner] & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            whole = False
+        if whole and len(data) < 1 << 31:
+            return pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data))
+        return pa.array([data[i:j].decode("utf-8", "replace") for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.string())
+
+    def decode(self, ids: list[int]) -> str:
+        """Text of one list of ids, special tokens as their strings."""
+        return self.decode_batch(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0].as_py()
+
+class SpeculativeBpe(TokenTable):
+    """Tokens with their merges, as an encoder."""
+
+    def prepare(self, vocab: dict[str, int], merges: list) -> None:
+        self.ids = {self.token[i]: i for s, i in vocab.items() if s not in self.special}
         self.ranks: dict[int, int] = {}
         self.made: list[int] = []
-        for rank, pair in enumerate(spec["model"]["merges"]):
+        for rank, pair in enumerate(merges):
             x, y = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[vocab[x] * self.size + vocab[y]] = rank
             self.made.append(vocab[x + y])
@@ -79,9 +112,7 @@ class SpeculativeBpe:
         self.words = regex.compile(WORD_PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, tuple[int, ...]] = {s: (i,) for s, i in self.special.items()}
-        self.sizes = np.array([len(t) for t in self.token], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.blob = np.frombuffer(b"".join(self.token), np.uint8)
+        self.older: dict[str, tuple[int, ...]] = {}
         self.checked: dict[int, bool] = {}
         self.sound: dict[int, bool] = {}
 
@@ -180,7 +211,7 @@ class SpeculativeBpe:
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text; null and empty texts have none."""
         if len(self.cache) > CACHED_WORDS:
-            self.cache = {s: (i,) for s, i in self.special.items()}
+            self.older, self.cache = self.cache, {s: (i,) for s, i in self.special.items()}
         if len(self.checked) > CACHED_WORDS:
             self.checked.clear()
         cache, find, special = self.cache, self.words.findall, self.special
@@ -191,6 +222,8 @@ class SpeculativeBpe:
                 parts += [part] if part in special else find(part)
             pieces.append(parts)
         seen: set[str] = set().union(*pieces)
+        older = self.older
+        cache.update((w, older[w]) for w in seen if w not in cache and w in older)
         new = [w for w in seen if w not in cache]
         cache.update(zip(new, self.encode_words(new), strict=True))
         out = [np.fromiter(chain.from_iterable(map(cache.__getitem__, parts)), np.int32) for parts in pieces]
@@ -199,26 +232,10 @@ class SpeculativeBpe:
                 del cache[w]
         return out
 
-    def decode_batch(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
-        """Texts of the ids between consecutive offsets; bytes that are no UTF-8 become U+FFFD."""
-        ids = ids[offsets[0] : offsets[-1]]
-        sizes = self.sizes[ids]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        data = self.blob[np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
-        cuts = ends[offsets - offsets[0]]
-        try:
-            data.decode("utf-8")
-            inner = cuts[cuts < len(data)]
-            whole = not len(inner) or not ((np.frombuffer(data, np.uint8)[inner] & 0xC0) == 0x80).any()
-        except UnicodeDecodeError:
-            whole = False
-        if whole and len(data) < 1 << 31:
-            return pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data))
-        return pa.array([data[i:j].decode("utf-8", "replace") for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.string())
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of one list of ids, special tokens as their strings."""
-        return self.decode_batch(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0].as_py()
+@lru_cache(maxsize=2)
+def loaded_tokens(path: str) -> TokenTable:
+    return TokenTable(path)
 
 
 @lru_cache(maxsize=2)
@@ -255,7 +272,7 @@ def bpe_decode(docs: DataFrame, vocab_path: str, ids_col: str = "ids", text_col:
     """``docs`` with ``text_col``: the text that ``ids_col`` stands for; null ids give an empty text."""
 
     def make():
-        bpe = loaded(vocab_path)
+        bpe = loaded_tokens(vocab_path)
 
         def work(ids):
             filled = ids.fill_null([])

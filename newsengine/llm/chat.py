@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from newsengine.llm.frames import share_code
+from newsengine.llm.frames import prepare_workers
 
 # How transcripts mark speakers, and the canonical turn.
 ROLES = ["system", "user", "assistant"]
@@ -131,7 +131,7 @@ def fit_hmm(labelled: DataFrame, conv: str = "conv_id", order: str = "turn", rol
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(c[at], pa.float64())], names=["k", "v"])
 
-    share_code(labelled.sparkSession)
+    prepare_workers(labelled.sparkSession)
     total = np.zeros(n)
     for row in ordered(labelled, conv, order, role, text).mapInArrow(count, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
         total[row["k"]] = row["v"]
@@ -169,7 +169,7 @@ def boundaries(source: DataFrame, model: Hmm) -> DataFrame:
                 after = after[::-1]
                 yield pa.RecordBatch.from_arrays([pa.array([row["conv"]] * len(ms), arrow), pa.array([x["piece"] for x in row["ms"]], pa.int64()), pa.array([STATES, *after[:-1]], pa.int32()), pa.array(after, pa.int32())], names=["conv", "piece", "before", "after"])
 
-    share_code(source.sparkSession)
+    prepare_workers(source.sparkSession)
     schema = T.StructType([T.StructField("conv", kind), T.StructField("piece", T.LongType()), T.StructField("m", T.ArrayType(T.DoubleType()))])
     made = several.mapInArrow(matrices, schema).groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("piece", "m"))).alias("ms"))
     return made.mapInArrow(chain, T.StructType([*schema.fields[:2], T.StructField("before", T.IntegerType()), T.StructField("after", T.IntegerType())]))
@@ -222,5 +222,5 @@ def format_chats(transcripts: DataFrame, model: Hmm, conv: str = "conv_id", orde
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), arrow, strict=True)], names=[f.name for f in fields])
 
-    share_code(transcripts.sparkSession)
+    prepare_workers(transcripts.sparkSession)
     return joined.mapInArrow(decode, T.StructType(fields))

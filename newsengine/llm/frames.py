@@ -13,14 +13,18 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 REPO = str(Path(__file__).resolve().parents[2])
+#: Rows of an Arrow batch: whole texts may be long, and each batch is held at once on both sides.
+BATCH_ROWS, BATCH_CONF = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def share_code(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is not installed.
+def prepare_workers(spark: SparkSession) -> None:
+    """Keep Arrow batches small, and let workers import this package when it is not installed.
 
-    On a real cluster the package is shipped with ``--py-files``; this covers
-    workers that share the driver's file system.
+    On a real cluster the package is shipped with ``--py-files``; the path
+    covers workers that share the driver's file system.
     """
+    if int(spark.conf.get(BATCH_CONF)) > BATCH_ROWS or int(spark.conf.get(BATCH_CONF)) <= 0:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO not in paths:
@@ -79,5 +83,5 @@ def map_columns(df: DataFrame, keep: list[str], inputs: list[str], fields: list[
                 cols += [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, t) for x, t in zip(made, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
-    share_code(df.sparkSession)
+    prepare_workers(df.sparkSession)
     return source.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsengine.llm.frames import cut, map_columns, share_code
+from newsengine.llm.frames import cut, map_columns, prepare_workers
 
 #: Bytes of a repeated window, and of the run that anchors it.
 WINDOW, GRAM = 400, 32
@@ -219,7 +219,7 @@ def cells_of_texts(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 zero = np.zeros(len(place), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[c["row"]], c["key"], c["full"], place, zero, zero == 0)], names=["did", "key", "full", "place", "origin", "wanted"])
 
-    share_code(texts.sparkSession)
+    prepare_workers(texts.sparkSession)
     return texts.select("did", "text").mapInArrow(run, CELL)
 
 
@@ -240,7 +240,7 @@ def stretches_of(texts: DataFrame, cells: DataFrame, window: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["did", "place", "wanted", "stretch"])
 
-    share_code(texts.sparkSession)
+    prepare_workers(texts.sparkSession)
     return both.mapInArrow(run, "did long, place long, wanted boolean, stretch binary")
 
 
@@ -258,7 +258,7 @@ def cells_of_stretches(stretches: DataFrame, size: int, window: int, gram: int)
                 fine = packed(start[row] + c["shift"], c["count"], c["low"])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[row], c["key"], c["full"], fine, place[row], wanted[row])], names=["did", "key", "full", "place", "origin", "wanted"])
 
-    share_code(stretches.sparkSession)
+    prepare_workers(stretches.sparkSession)
     return stretches.select("did", "place", "wanted", "stretch").mapInArrow(run, CELL)
 
 
