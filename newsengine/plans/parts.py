@@ -26,7 +26,7 @@ def pages_source(spark, d):
     return S.pages_source(spark, f"{d}/pages.parquet").select("page_id", "url", F.sha2("html", 256).alias("html"))
 
 
-@query(rf"SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', '''')) AS plain FROM pages".replace('""', '"'))
+@query("""SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', '''')) AS plain FROM pages""")
 def decode_entities(spark, d):
     return A.table(spark, d, "pages").select("page_id", F.sha2(X.decode_entities(F.col("html")), 256).alias("plain"))
 
