@@ -32,7 +32,7 @@ WINDOW, GRAM = 400, 32
 #: Windows in a cell at each pass; the last pass looks at single windows.
 PASSES = (185, 24, 1)
 #: Texts are read in pieces of at most so many bytes.
-PIECE = 1 << 22
+PIECE = 1 << 20
 # An odd base and its inverse modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -184,12 +184,17 @@ def sort_pass(cells: DataFrame, copies: bool) -> tuple[DataFrame, DataFrame]:
     are settled; with ``copies`` equal places count as two, for repeated rows.
     Of the others in a group that has several kinds, one cell of each kind
     goes on, wanted only if it is not settled.
+
+    Counts and kinds are summed in each task first and written before they are
+    joined, so both joins meet plain shuffles, of which Spark can split the
+    partition of a frequent key.
     """
-    shared = cells.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    shared = cut(cells.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
     live = cut(cells.join(shared, "key").select("did", "key", "full", "place", "origin", "wanted"))
     spot = F.struct("did", "place", "origin")
     kinds = live.groupBy("key", "full").agg(F.count("*").alias("m"), F.min(spot).alias("spot"), F.max(spot).alias("other"), F.max("wanted").alias("wanted"))
     kinds = kinds.withColumn("again", F.col("m") > 1 if copies else F.col("spot") != F.col("other")).select("key", "full", "spot", "again", "wanted")
+    kinds = cut(kinds)
     settled = live.where("wanted").join(kinds.where("again and wanted").select("key", "full"), ["key", "full"]).select("did", "place")
     lone = ~F.col("again") & F.col("wanted")
     mixed_keys = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max(lone).alias("lone")).where("kinds > 1 and lone").select("key")
