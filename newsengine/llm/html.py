@@ -14,11 +14,12 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsengine.llm.frames import map_columns
+from newsengine.llm.frames import map_columns, prepare_workers
 
 # Fixed values of HTML: elements without an end tag, text-level elements,
 # elements whose content is no text, and which open elements a start tag ends.
@@ -381,11 +382,25 @@ def train(pages: list[str | None], made: int = 1500, seed: int = 11) -> BiLstm:
 
 
 def fit_labeller(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", rows: int = 300) -> BiLstm:
-    """Train on the at most ``rows`` pages whose ids hash lowest, the same at every run."""
-    ids = pages.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    """Train on the at most ``rows`` pages whose ids hash lowest, the same at every run.
+
+    The bounded sample is trained on in one task, so a lost executor only
+    means that the task runs again; the weights come back to the driver.
+    """
+    ids = pages.select(F.col(id_col).alias("__id")).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64("__id"), "__id").limit(rows)
     # ``ids`` has at most ``rows`` rows of one number, so its size is bounded.
-    found = pages.select(id_col, F.col(html_col).alias("html")).join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min("html").alias("html")).orderBy(id_col)
-    return train([r["html"] for r in found.collect()])
+    found = pages.select(F.col(id_col).alias("__id"), F.col(html_col).alias("__html")).join(F.broadcast(ids), "__id").groupBy("__id").agg(F.min("__html").alias("__html"))
+
+    def learn(batches):
+        rows_ = sorted(((r["__id"], r["__html"]) for b in batches for r in b.to_pylist()), key=lambda r: r[0])
+        model = train([h for _, h in rows_])
+        yield pa.RecordBatch.from_arrays([pa.array([model.w.tobytes()], pa.binary()), pa.array([model.out.tobytes()], pa.binary())], names=["w", "out"])
+
+    prepare_workers(pages.sparkSession)
+    made = found.repartition(1).mapInArrow(learn, "w binary, out binary").first()
+    out = np.frombuffer(made["out"], np.float32)
+    hidden = (len(out) - 1) // 2
+    return BiLstm(np.frombuffer(made["w"], np.float32).reshape(2, INPUTS + hidden + 1, 4 * hidden), out)
 
 
 def extract_main_text(pages: DataFrame, model: BiLstm, html_col: str = "html", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
