@@ -25,7 +25,7 @@ from newsengine.llm.frames import map_columns
 # The published pre-tokenization pattern of byte-level BPE.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: The word cache has two generations of so many words; words of the older one that come again move on.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 250_000
 #: Longer words are not kept in the cache.
 CACHED_LENGTH = 64
 #: Words of more bytes are merged with a heap.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -31,6 +34,14 @@ def prepare_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([REPO, *paths])
 
 
+def release() -> None:
+    """Give freed memory back at a task's end: Python workers live on and share their executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     sc = spark.sparkContext
@@ -82,6 +93,8 @@ def map_columns(df: DataFrame, keep: list[str], inputs: list[str], fields: list[
                 cols = [part.column(i) for i in range(n)]
                 cols += [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, t) for x, t in zip(made, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
+        del work
+        release()
 
     prepare_workers(df.sparkSession)
     return source.mapInArrow(run, schema)

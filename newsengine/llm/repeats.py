@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsengine.llm.frames import cut, map_columns, prepare_workers
+from newsengine.llm.frames import cut, map_columns, prepare_workers, release
 
 #: Bytes of a repeated window, and of the run that anchors it.
 WINDOW, GRAM = 400, 32
@@ -223,6 +223,7 @@ def cells_of_texts(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 place = packed(c["start"], c["count"], c["low"])
                 zero = np.zeros(len(place), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[c["row"]], c["key"], c["full"], place, zero, zero == 0)], names=["did", "key", "full", "place", "origin", "wanted"])
+        release()
 
     prepare_workers(texts.sparkSession)
     return texts.select("did", "text").mapInArrow(run, CELL)

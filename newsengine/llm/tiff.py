@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from newsengine.llm.frames import map_columns, prepare_workers
+from newsengine.llm.frames import map_columns, prepare_workers, release
 
 # Fixed values of the format: tags, compression schemes and field sizes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -353,6 +353,7 @@ def tiff_pages(media: DataFrame, media_col: str = "media", keep: list[str] | Non
                 cols = [part.column(i).take(at_owner) for i in range(len(keep))]
                 cols += [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(PAGE_FIELDS)]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
+        release()
 
     prepare_workers(media.sparkSession)
     return source.mapInArrow(run, schema)
