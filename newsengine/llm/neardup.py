@@ -10,13 +10,16 @@ whose Jaccard similarity over whole texts is then computed.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsengine.llm.frames import cut, map_columns
+from newsengine.llm.frames import cut, map_columns, prepare_workers
 from newsengine.llm.graphs import components
 
 #: Words of a shingle, and the least Jaccard similarity of near-duplicates.
@@ -24,8 +27,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: Bands of slots: two texts at the least similarity share a band with chance 1 - (1 - 0.8 ** 6) ** 24 > 0.999.
 BANDS, ROWS = 24, 6
 SLOTS = BANDS * ROWS
-#: Buckets of at most so many classes are compared pair by pair; larger ones along several orders.
-SMALL_BUCKET = 12
+#: Cells over which shingles are counted to tell rare from common ones.
+CELLS = 1 << 16
 # Multipliers of the splitmix64 generator.
 GOLDEN, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -140,30 +143,74 @@ def stars(keyed: DataFrame) -> DataFrame:
     return keyed.select("key", F.col("id").alias("a")).join(heads, "key").where("a <> b").select("a", "b").distinct()
 
 
-def across(keyed: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """(a, b) between different classes that meet in a bucket.
+def commonness(texts: DataFrame) -> np.ndarray:
+    """In how many of ``texts`` shingles occur, summed over hash cells; its size is fixed."""
 
-    Of each class in a bucket its least and greatest member stand for it.
-    Small buckets give all pairs of classes, larger ones neighbours in three
-    orders that change with ``turn``.
-    """
+    def count(batches):
+        n = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for found in shingles(batch.column(0).slice(at, 256).to_pylist()):
+                    n += np.bincount((np.unique(found) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[used], pa.int64())], names=["k", "v"])
+
+    prepare_workers(texts.sparkSession)
+    table = texts.select("text").mapInArrow(count, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[table["k"].to_numpy()] = table["v"].to_numpy()
+    return np.minimum(out, 2**31 - 1).astype(np.int32)
+
+
+def prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """(id, n, at, token): the rarest shingles of each text, of which two texts at ``least`` share at least one."""
+    common = commonness(texts)
+
+    def make():
+        def work(given):
+            sizes, tokens = [], []
+            for found in shingles(given):
+                own = np.unique(found)
+                own = own[np.lexsort((own, common[(own % np.uint64(CELLS)).astype(np.int64)]))]
+                sizes.append(len(own))
+                tokens.append(own[: len(own) - math.ceil(least * len(own) - 1e-9) + 1].view(np.int64).tolist() if len(own) else [])
+            return sizes, tokens
+
+        return work
+
+    fields = [T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
+    return map_columns(texts, ["id"], ["text"], fields, make, rows=256).select("id", "n", F.posexplode("tokens").alias("at", "token"))
+
+
+def meeting(keyed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, comp) of the texts that meet a text of another class in some bucket."""
     own = keyed.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = own.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.approx_count_distinct("comp").alias("n")).where("c < d").select("key", "n")
-    members = own.join(mixed, "key").groupBy("key", "n", "comp").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    members = cut(members)
-    few, many = members.where(F.col("n") <= SMALL_BUCKET), members.where(F.col("n") > SMALL_BUCKET)
-    all_pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")))
-    pairs = all_pairs.select(F.explode(F.array(F.struct(F.col("x.low").alias("a"), F.col("y.low").alias("b")), F.struct(F.col("x.high").alias("a"), F.col("y.high").alias("b")))).alias("p")).select("p.a", "p.b")
-    for k in range(3):
-        # Neighbours in an order by hash: each bucket is dealt out over ranges of the hash, so none is one task's.
-        order = F.xxhash64("comp", F.lit(turn), F.lit(k))
-        cell = many.withColumn("h", order).withColumn("cell", F.floor(F.pmod("h", F.greatest(F.lit(1), F.floor(F.col("n") / 8)))))
-        heads = cell.groupBy("key", "cell").agg(F.min_by("low", "h").alias("b"))
-        pairs = pairs.union(cell.join(heads, ["key", "cell"]).where(F.col("low") != F.col("b")).select(F.col("low").alias("a"), "b"))
-    return pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, most_turns: int = 4) -> DataFrame:
+    mixed = own.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c < d").select("key")
+    return own.join(mixed, "key").select("id", "comp").distinct()
+
+
+def across(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): all pairs of ``members`` (id, comp) of different classes that can be at ``least``.
+
+    The prefix, length and position filters are exact: the first shingle that
+    two such texts share, rarest first, is in the prefix of both, and what
+    follows it is long enough in both. The largest class of a shingle is not
+    joined with itself.
+    """
+    tokens = cut(prefixes(texts.join(members.select("id"), "id", "left_semi"), least).join(members, "id"))
+    kinds = tokens.groupBy("token", "comp").agg(F.count("*").alias("m"))
+    kinds = kinds.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1").select("token", "most")
+    shared = cut(tokens.join(kinds, "token"))
+    x, y = shared.where("comp <> most").alias("x"), shared.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.most")) | (F.col("x.id") < F.col("y.id")))
+    sized = (n >= least * m - 1e-6) & (m >= least * n - 1e-6)
+    rest = 1 + F.least(n - 1 - F.col("x.at"), m - 1 - F.col("y.at")) >= least / (1 + least) * (n + m) - 1e-6
+    found = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & sized & rest)
+    return found.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per document: (``id_col``, exact_id, class_id).
 
     ``exact_id`` is the least id with the same text. Texts are linked if the
@@ -172,8 +219,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal texts stand for each other, so thousands of copies cost one
     signature row. In a bucket every text is first compared with the least
-    one; then classes that still meet in a bucket are compared with each
-    other, until no comparison joins any. Null texts count as empty; empty
+    one; then all texts whose classes still meet in a bucket are compared with
+    each other, by an exact filter on their rarest shingles. Null texts count as empty; empty
     texts are copies of each other and similar to nothing else. Null ids are
     left out. Rows that repeat an id with one text are one document; an id
     with several texts belongs to the class that joins them.
@@ -194,16 +241,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = cut(possible(stars(keyed)))
     edges = cut(verify(tested, texts, least).select("a", "b"))
     labels = components(edges)
-    for turn in range(most_turns):
-        fresh = cut(possible(across(keyed, labels, turn).join(tested, ["a", "b"], "left_anti")))
-        if not fresh.limit(1).count():
-            break
-        more = cut(verify(fresh, texts, least).select("a", "b"))
-        tested = tested.union(fresh)
-        if more.limit(1).count():
-            edges = edges.union(more)
-            labels = components(edges)
-        elif turn:
-            break
+    fresh = cut(across(cut(meeting(keyed, labels)), texts, least).join(tested, ["a", "b"], "left_anti"))
+    if fresh.limit(1).count():
+        edges = edges.union(cut(verify(fresh, texts, least).select("a", "b")))
+        labels = components(edges)
     classes = signed.select("hash", F.col("id").alias("exact_id")).join(labels.select(F.col("id").alias("exact_id"), F.col("comp")), "exact_id", "left").select("hash", "exact_id", F.coalesce("comp", "exact_id").alias("class_id"))
     return rows.select("id", "hash").distinct().join(classes, "hash").groupBy(F.col("id").alias(id_col)).agg(F.min("exact_id").alias("exact_id"), F.min("class_id").alias("class_id"))

@@ -64,3 +64,23 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 150: 100, 200: 100}
+
+
+def edited(rng, groups, size, words, edits):
+    """Rows (id, text): copies of one passage per group, each with random edits, so that few pairs of a group are similar."""
+    rows = []
+    for g in range(groups):
+        base = [f"g{g}x{k}" for k in range(words)]
+        for _ in range(size):
+            t = list(base)
+            for at in rng.sample(range(words), edits):
+                t[at] = f"new{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(t)))
+    rng.shuffle(rows)
+    return [(k, t) for k, (_, t) in enumerate(rows)]
+
+
+def test_large_buckets_are_compared_exactly(spark):
+    rows = edited(random.Random(5), 1, 150, 200, 3)
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(brute(rows).values())) > 12 and got == brute(rows)
