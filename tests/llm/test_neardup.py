@@ -84,3 +84,9 @@ def test_large_buckets_are_compared_exactly(spark):
     rows = edited(random.Random(5), 1, 150, 200, 3)
     got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(set(brute(rows).values())) > 12 and got == brute(rows)
+
+
+def test_small_buckets_are_compared_exactly(spark):
+    rows = edited(random.Random(6), 20, 12, 200, 3)
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
