@@ -1,10 +1,10 @@
 """Near-duplicates by ProbMinHash signatures, banding and exact verification.
 
-Each distinct shingle of five words has its count's damped weight as the rate
-of a Poisson process seeded by the shingle. An arrival falls on a random slot;
+Each distinct shingle of five words has its weight as the rate of a Poisson
+process seeded by the shingle; all weights are 1, however often it occurs. An arrival falls on a random slot;
 each slot keeps the earliest arrival's shingle, and a process ends once its
 time is past the latest slot. Two texts agree on a slot with the chance of
-their probability Jaccard similarity. Bands of slots give candidate pairs,
+their probability Jaccard similarity, here that of the sets. Bands of slots give candidate pairs,
 whose Jaccard similarity over whole texts is then computed.
 """
 
@@ -98,8 +98,9 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def weighted(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    kinds, counts = np.unique(found, return_counts=True)
-    return kinds, 1 + np.log(counts)
+    """Distinct shingles, all of weight 1: so slots agree with the chance of the sets' Jaccard similarity, which is what is verified."""
+    kinds = np.unique(found)
+    return kinds, np.ones(len(kinds))
 
 
 def sign(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:

@@ -90,3 +90,14 @@ def test_small_buckets_are_compared_exactly(spark):
     rows = edited(random.Random(6), 20, 12, 200, 3)
     got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
+
+
+def test_heavily_repeated_lines(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(20):
+        own = " ".join(f"w{rng.randrange(10**6)}" for _ in range(104))
+        line = "\n" + " ".join(f"r{rng.randrange(10**6)}" for _ in range(18))
+        rows += [(2 * k, own), (2 * k + 1, own + line * 1000)]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
