@@ -27,9 +27,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least id, of each class of near-duplicates; null ids go."""
-    least = near_duplicates(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each class of near-duplicate texts: that of least id, null ids last; a null text counts as empty.
+
+    Texts stand for themselves by their digest, so rows without an id take part
+    and different texts of one id stay apart.
+    """
+    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    classes = near_duplicates(docs.select(key.alias("text_id"), "text"), id_col="text_id").select("text_id", "class_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")
+    firsts = docs.select("doc_id", key.alias("text_id")).groupBy("text_id").agg(F.min(rank).alias("first"))
+    least = firsts.join(classes, "text_id").groupBy("class_id").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.text_id").alias("__text_id"))
+    found = docs.withColumn("__key", key).join(least, (F.col("__key") == F.col("__text_id")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return found.dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,12 @@ def test_stages(spark, tmp_path):
     for r in kept["bpe"]:
         assert r.ids == lib.encode(texts[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.ids)
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == ids["bpe"]
+
+
+def test_near_dedup_keeps_one_row_of_each_class_of_texts(spark):
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, b), (2, a), (None, c), (None, c), (None, d), (3, d + " end"), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text or "") for r in corpus_pipeline.minhash_near_dedup(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (None, c), (3, d + " end"), (4, "")], key=str)
