@@ -9,8 +9,10 @@ which proposals stand; only the failing words are merged exactly.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
@@ -24,8 +26,10 @@ from newsengine.llm.frames import map_columns
 
 # The published pre-tokenization pattern of byte-level BPE.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: The word cache has two generations of so many words; words of the older one that come again move on.
-CACHED_WORDS = 250_000
+#: The word cache has two generations of about so many bytes; words of the older one that come again move on.
+CACHED_BYTES = 24 << 20
+#: What a cached word takes besides its characters and ids, about; and so many checked pairs are kept.
+WORD_BYTES, ID_BYTES, CACHED_PAIRS = 160, 40, 200_000
 #: Longer words are not kept in the cache.
 CACHED_LENGTH = 64
 #: Words of more bytes are merged with a heap.
@@ -84,6 +88,7 @@ class TokenTable:
         """Text of one list of ids, special tokens as their strings."""
         return self.decode_batch(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0].as_py()
 
+
 class SpeculativeBpe(TokenTable):
     """Tokens with their merges, as an encoder."""
 
@@ -113,6 +118,8 @@ class SpeculativeBpe(TokenTable):
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, tuple[int, ...]] = {s: (i,) for s, i in self.special.items()}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.held = 0
+        self.names = [str(i) for i in range(self.size)]
         self.checked: dict[int, bool] = {}
         self.sound: dict[int, bool] = {}
 
@@ -210,9 +217,9 @@ class SpeculativeBpe(TokenTable):
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text; null and empty texts have none."""
-        if len(self.cache) > CACHED_WORDS:
-            self.older, self.cache = self.cache, {s: (i,) for s, i in self.special.items()}
-        if len(self.checked) > CACHED_WORDS:
+        if self.held > CACHED_BYTES:
+            self.older, self.cache, self.held = self.cache, {s: (i,) for s, i in self.special.items()}, 0
+        if len(self.checked) > CACHED_PAIRS:
             self.checked.clear()
         cache, find, special = self.cache, self.words.findall, self.special
         pieces: list[list[str]] = []
@@ -222,10 +229,12 @@ class SpeculativeBpe(TokenTable):
                 parts += [part] if part in special else find(part)
             pieces.append(parts)
         seen: set[str] = set().union(*pieces)
-        older = self.older
-        cache.update((w, older[w]) for w in seen if w not in cache and w in older)
-        new = [w for w in seen if w not in cache]
-        cache.update(zip(new, self.encode_words(new), strict=True))
+        fresh = [w for w in seen if w not in cache]
+        known = {w: ids for w in fresh if (ids := self.older.get(w)) is not None}
+        new = [w for w in fresh if w not in known]
+        known.update(zip(new, self.encode_words(new), strict=True))
+        cache.update(known)
+        self.held += sum(WORD_BYTES + len(w) + ID_BYTES * len(ids) for w, ids in known.items() if len(w) <= CACHED_LENGTH)
         out = [np.fromiter(chain.from_iterable(map(cache.__getitem__, parts)), np.int32) for parts in pieces]
         for w in new:
             if len(w) > CACHED_LENGTH:
@@ -238,41 +247,81 @@ def loaded_tokens(path: str) -> TokenTable:
     return TokenTable(path)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def loaded(path: str) -> SpeculativeBpe:
     """One encoder per worker process, kept between tasks."""
     return SpeculativeBpe(path)
 
 
-def bpe_encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``ids_col`` ARRAY<INT>: the tokens of each whole text.
+#: A vocabulary file that every worker can read: its path, or a function that gives the path there.
+Vocabulary = str | Callable[[], str]
 
-    ``vocab_path`` names a byte-level BPE file in JSON form that every worker
-    can read. Null or empty text: empty array. Rows are independent, so
-    repeated rows repeat and an empty table stays empty. An existing column
-    named ``ids_col`` is replaced. Special tokens' strings in a text become
-    their ids.
+
+def path_of(vocab: Vocabulary) -> str:
+    return vocab() if callable(vocab) else vocab
+
+
+def list_array(ids: list[np.ndarray]) -> pa.Array:
+    """An Arrow list of each array of ids."""
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, type=pa.list_(pa.field("element", pa.int32(), False)))
+
+
+IDS = T.ArrayType(T.IntegerType(), False)
+DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+
+
+def bpe_round_trip(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", ids_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with n_tokens, ids_sha256, decoded_sha256 and, if named, ``ids_col`` ARRAY<INT>.
+
+    Each whole text is encoded and its ids decoded again in one pass; the
+    digests are those of the decimal ids joined by commas and of the decoded
+    UTF-8 text. Null and empty texts have no ids. Rows are independent, so
+    repeated rows repeat and an empty table stays empty; clashing columns are
+    replaced.
     """
 
     def make():
-        bpe = loaded(vocab_path)
+        bpe = loaded(path_of(vocab))
+        name = bpe.names.__getitem__
 
         def work(texts):
             ids = bpe.encode_batch(texts)
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            return (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, type=pa.list_(pa.field("element", pa.int32(), False))),)
+            listed = list_array(ids)
+            decoded = bpe.decode_batch(listed.values.to_numpy(), listed.offsets.to_numpy().astype(np.int64))
+            told = [hashlib.sha256(",".join(map(name, own.tolist())).encode()).hexdigest() for own in ids]
+            digests = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in decoded.to_pylist()]
+            return (*([listed] if ids_col else []), [len(own) for own in ids], told, digests)
 
         return work
 
-    return map_columns(docs, docs.columns if keep is None else keep, [text_col], [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))], make, rows=256)
+    fields = [*([T.StructField(ids_col, IDS)] if ids_col else []), *DIGESTS]
+    return map_columns(docs, docs.columns if keep is None else keep, [text_col], fields, make, rows=128)
+
+
+def bpe_encode(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``ids_col`` ARRAY<INT>: the tokens of each whole text.
+
+    ``vocab`` names a byte-level BPE file in JSON form that every worker
+    can read. Null or empty text: empty array. Rows are independent, so
+    repeated rows repeat and an empty table stays empty. An existing column
+    named ``ids_col`` is replaced. Special tokens' strings in a text become
+    their ids.
+    """
+
+    def make():
+        bpe = loaded(path_of(vocab))
+        return lambda texts: (list_array(bpe.encode_batch(texts)),)
+
+    return map_columns(docs, docs.columns if keep is None else keep, [text_col], [T.StructField(ids_col, IDS)], make, rows=256)
 
 
-def bpe_decode(docs: DataFrame, vocab_path: str, ids_col: str = "ids", text_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+def bpe_decode(docs: DataFrame, vocab: Vocabulary, ids_col: str = "ids", text_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``text_col``: the text that ``ids_col`` stands for; null ids give an empty text."""
 
     def make():
-        bpe = loaded_tokens(vocab_path)
+        bpe = loaded_tokens(path_of(vocab))
 
         def work(ids):
             filled = ids.fill_null([])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsengine.llm.bpe import bpe_decode, bpe_encode
+from newsengine.llm.bpe import bpe_round_trip
 from newsengine.llm.chat import fit_hmm, format_chats
 from newsengine.llm.frames import cut
 from newsengine.llm.html import extract_main_text, fit_labeller
@@ -36,6 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vocabulary(name: str = BPE_FILE) -> str:
+    """Path of a public vocabulary on the machine that calls this: workers find their own."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -173,20 +174,9 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def bpe_digests(docs: DataFrame) -> DataFrame:
-    ids = bpe_encode(docs.select("doc_id", "text"), vocabulary(), keep=["doc_id"])
-    both = bpe_decode(ids, vocabulary(), keep=["doc_id", "ids"])
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
-
-
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of ``documents``."""
-    return bpe_digests(table(spark, sf_dir, "documents"))
+    return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
