@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsengine.llm.bpe import bpe_decode, bpe_encode
+from newsengine.llm.bpe import bpe_round_trip
 from newsengine.llm.frames import cut, shared_dir
 from newsengine.llm.mixing import domain_posteriors, fit_domains, fit_rates, rate_column, realise
 from newsengine.llm.neardup import near_duplicates
@@ -62,15 +62,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each whole text, with the digests of the ids and of the text that they decode to."""
-    ids = bpe_encode(docs.select("doc_id", "text"), vocabulary(), keep=["doc_id"])
-    both = bpe_decode(ids, vocabulary(), keep=["doc_id", "ids"])
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids",
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe_round_trip(docs, vocabulary, ids_col="ids", keep=["doc_id"]).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
