@@ -244,7 +244,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(edges)
     fresh = cut(across(cut(meeting(keyed, labels)), texts, least).join(tested, ["a", "b"], "left_anti"))
     if fresh.limit(1).count():
-        edges = edges.union(cut(verify(fresh, texts, least).select("a", "b")))
-        labels = components(edges)
+        labels = components(cut(verify(fresh, texts, least).select("a", "b")), labels)
     classes = signed.select("hash", F.col("id").alias("exact_id")).join(labels.select(F.col("id").alias("exact_id"), F.col("comp")), "exact_id", "left").select("hash", "exact_id", F.coalesce("comp", "exact_id").alias("class_id"))
     return rows.select("id", "hash").distinct().join(classes, "hash").groupBy(F.col("id").alias(id_col)).agg(F.min("exact_id").alias("exact_id"), F.min("class_id").alias("class_id"))

@@ -101,3 +101,14 @@ def test_heavily_repeated_lines(spark):
         rows += [(2 * k, own), (2 * k + 1, own + line * 1000)]
     got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_contracted_components_equal_those_of_all_edges(spark):
+    from newsengine.llm.graphs import components
+
+    first, more = [(2, 1), (3, 2), (11, 10), (7, 7)], [(10, 3), (21, 20), (3, 2)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    at_once = {tuple(r) for r in components(frame(first + more)).collect()}
+    in_turn = {tuple(r) for r in components(frame(more), components(frame(first))).collect()}
+    assert at_once == in_turn == {(1, 1), (2, 1), (3, 1), (10, 1), (11, 1), (20, 20), (21, 20)}
+    assert components(frame([])).count() == 0
