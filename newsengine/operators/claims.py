@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from newsengine.functions import lexicons as L
 from newsengine.functions import text as X
+from newsengine.sources.shared import checkpointed
 
 VERSION = ["event_id", "version_id"]
 
@@ -23,14 +24,16 @@ def quote_span(source: Column, sentence: Column) -> Column:
 
 
 def claim_sentences(articles: DataFrame) -> DataFrame:
-    """One row per article and claim: (event_id, version_id, article_id, media_id, ord, sentence, norm, source).
+    """One row per article and claim: (event_id, version_id, article_id, media_id, ord, sentence, norm, span).
 
     Sentences of at least 40 characters; of those that normalize alike in one
-    article the first stays.
+    article the first stays. Articles are dealt out before they are split, so
+    a few large files still keep all tasks busy; spans are found on the spot,
+    so no sentence carries its article's text any further.
     """
-    src = source_text(F.col("title"), F.col("snippet"))
-    rows = articles.select(*VERSION, "article_id", "media_id", src.alias("source"), F.posexplode(X.split_sentences(src)).alias("pos", "sentence")).where(F.length("sentence") >= L.MIN_SENTENCE)
-    rows = rows.withColumn("norm", X.normalize_claim(F.col("sentence"))).withColumn("ord", F.struct("article_id", "pos"))
+    dealt = articles.select(*VERSION, "article_id", "media_id", source_text(F.col("title"), F.col("snippet")).alias("source")).repartition(*VERSION, "article_id")
+    rows = dealt.select("*", F.posexplode(X.split_sentences(F.col("source"))).alias("pos", "sentence")).where(F.length("sentence") >= L.MIN_SENTENCE)
+    rows = rows.select(*VERSION, "article_id", "media_id", "pos", "sentence", X.normalize_claim(F.col("sentence")).alias("norm"), F.struct("article_id", "pos").alias("ord"), quote_span(F.col("source"), F.col("sentence")).alias("span"))
     w = Window.partitionBy(*VERSION, "article_id", "norm").orderBy("pos")
     return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "pos")
 
@@ -46,8 +49,7 @@ def extract_claims(articles: DataFrame) -> DataFrame:
     normalized sentence, its type that of its first occurrence.
     """
     rows = claim_sentences(articles).withColumn("kind", X.classify_claim(F.col("sentence")))
-    span = quote_span(F.col("source"), F.col("sentence"))
-    quote = F.struct("ord", "article_id", "media_id", F.substring("sentence", 1, L.MAX_QUOTE).alias("quote_text"), span.alias("span"), X.quote_role(F.col("kind")).alias("role"))
+    quote = F.struct("ord", "article_id", "media_id", F.substring("sentence", 1, L.MAX_QUOTE).alias("quote_text"), "span", X.quote_role(F.col("kind")).alias("role"))
     per = rows.groupBy(*VERSION, "norm").agg(F.min_by("kind", "ord").alias("claim_type"), F.min("ord").alias("ord"), F.countDistinct("media_id").alias("media_count"), F.array_sort(F.collect_list(quote)).alias("q"))
     quotes = F.transform("q", lambda x: F.struct(x["article_id"].alias("article_id"), x["media_id"].alias("media_id"), x["quote_text"].alias("quote_text"), x["span"]["span_start"].alias("span_start"), x["span"]["span_end"].alias("span_end"), X.quote_strength(x["quote_text"], F.col("media_count")).alias("strength"), x["role"].alias("role")))
     return per.select(*VERSION, claim_id().alias("claim_id"), F.col("norm").alias("claim_text"), "claim_type", "ord", "media_count", quotes.alias("quotes"))
@@ -72,11 +74,12 @@ def detect_contradictions(claims: DataFrame) -> DataFrame:
     Pairs share at least two top tokens; they contradict if both have numbers
     and the sets differ, or if they share three and just one says "no". Pairs
     meet on tokens, so unrelated claims never meet; a token joins only with
-    claims whose numbers or negation could contradict.
+    claims whose numbers or negation could contradict. The tokens are written
+    once, as both sides of that join read them.
     """
     no = r"(?<![A-Za-z0-9_])no(?![A-Za-z0-9_])"
     facts = claims.select(*VERSION, "claim_id", F.array_sort(F.array_distinct(X.extract_numbers(F.col("claim_text")))).alias("nums"), F.col("claim_text").rlike(no).alias("neg"))
-    rows = top_tokens(claims).drop("freq", "rank").join(facts, [*VERSION, "claim_id"])
+    rows = checkpointed(top_tokens(claims).drop("freq", "rank").join(facts, [*VERSION, "claim_id"]))
     a, b = rows.alias("a"), rows.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*VERSION, "token")]
     numbers = (F.size("a.nums") > 0) & (F.size("b.nums") > 0) & (F.col("a.nums") != F.col("b.nums"))
@@ -97,8 +100,8 @@ def claim_status(claims: DataFrame, contradicted: DataFrame) -> DataFrame:
 
 
 def build_claims(articles: DataFrame) -> DataFrame:
-    """All of it for one set of event versions."""
-    claims = extract_claims(articles)
+    """All of it for one set of event versions; the texts are read once, as the claims are written before they are compared."""
+    claims = checkpointed(extract_claims(articles))
     return claim_status(claims, detect_contradictions(claims))
 
 

@@ -170,42 +170,55 @@ def merge_check(new: DataFrame, candidates: DataFrame, capped: bool = True, leas
     return first.select("event_id", "candidate_id", stays.alias("canonical_id"), F.when(stays == F.col("event_id"), F.col("candidate_id")).otherwise(F.col("event_id")).alias("merged_id"), "score")
 
 
-def resolve_canonical(events: DataFrame, hops: int = 3) -> DataFrame:
-    """(event_id, canonical_id) after up to ``hops`` hops along canonical_event_id."""
-    step = events.select(F.col("event_id").alias("__at"), F.col("canonical_event_id").alias("__next"))
-    out = events.select("event_id", F.coalesce("canonical_event_id", "event_id").alias("canonical_id"))
-    for _ in range(hops - 1):
-        out = out.join(step, F.col("canonical_id") == F.col("__at"), "left").select("event_id", F.coalesce("__next", "canonical_id").alias("canonical_id"))
-    return out
+def resolve_canonical(events: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(event_id, canonical_id) at the end of the chain of canonical_event_id, however long.
+
+    Every round doubles how far each pointer reaches, until none moves. A
+    pointer to an event that is not in the table ends there; a ring of three
+    or more events has no end and is an error.
+    """
+    out = checkpointed(events.select("event_id", F.coalesce("canonical_event_id", "event_id").alias("canonical_id")))
+    for _ in range(most_rounds):
+        ahead = out.select(F.col("event_id").alias("canonical_id"), F.col("canonical_id").alias("__next"))
+        moved = checkpointed(out.join(ahead, "canonical_id", "left").select("event_id", F.coalesce("__next", "canonical_id").alias("canonical_id"), (F.col("__next") != F.col("canonical_id")).alias("__moved")))
+        out = moved.select("event_id", "canonical_id")
+        if not moved.where("__moved").limit(1).count():
+            return out
+    raise ValueError("events point to each other in a ring")
+
+
+def seeds_of(open_: DataFrame, now: Column) -> DataFrame:
+    """The rows of ``open_`` that no earlier open article could take in: each is to open an event of its own."""
+    alone = open_.select(F.col("article_id").alias("event_id"), F.lit("DETECTED").alias("state"), now.alias("t0"), now.alias("t_last"), F.col("embedding_vec").alias("centroid"), F.array_sort(X.extract_entities(text_for_embedding(F.col("title"), F.col("snippet")))).alias("entities"), F.lit(1).alias("article_count"), F.lit(1).alias("unique_media"))
+    near = score_candidates(open_, alone, now).where((F.col("event_id") < F.col("article_id")) & (F.col("score") >= L.THETA_LINK) & (F.size("block_reasons") == 0))
+    return open_.join(near.select("article_id").distinct(), "article_id", "left_anti")
 
 
-def link_incremental(batch: DataFrame, events: DataFrame, links: DataFrame, articles: DataFrame, now: Column, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def link_incremental(batch: DataFrame, events: DataFrame, links: DataFrame, articles: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(links, new events) of one batch of articles with vectors.
 
-    Each round features the open events once and scores what is left. Of the
-    articles that no event takes, the first of those with the same
-    heaviest vector slot seeds an event, the others try again in the next
-    round; after the last round each seeds its own. With one
-    article a batch this is the one-at-a-time procedure; in larger batches
-    centroids move between rounds, not between articles.
+    Rounds go on until no article is left. Each features the open events once
+    and links what they take; of the rest, the articles that no earlier one of
+    the rest could take in open an event each, and the others try again. So
+    alike articles of a batch find each other as they would one at a time, in
+    as many rounds as such a chain is long; centroids move between rounds, not
+    between articles. ``article_id`` orders the batch.
     """
-    left = batch
+    left = checkpointed(batch)
     made_links = made_events = None
-    for k in range(rounds):
+    while made_links is None or left.limit(1).count():
         features = event_features(events, links, articles)
         decided = checkpointed(decide_link(left, score_candidates(left, features, now)))
         linked = decided.where("action = 'LINK'").select("event_id", "article_id")
-        open_ = left.join(decided.where("action = 'CREATE'").select("article_id"), "article_id", "left_semi")
-        slot = F.array_position("embedding_vec", F.array_max("embedding_vec"))
-        first = Window.partitionBy(slot).orderBy("article_id")
-        seeds = open_.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn") if k + 1 < rounds else open_
+        open_ = checkpointed(left.join(decided.where("action = 'CREATE'").select("article_id"), "article_id", "left_semi"))
+        seeds = seeds_of(open_, now)
         fresh = checkpointed(seeds.select(F.concat(F.lit("ev_"), F.substring(F.sha2(F.col("article_id").cast("string"), 256), 1, 16)).alias("event_id"), "article_id"))
         new = fresh.select("event_id", F.lit("DETECTED").alias("state"), now.alias("t0"), now.alias("t_last"))
-        events = events.unionByName(new, allowMissingColumns=True)
-        links = links.unionByName(linked, allowMissingColumns=True).unionByName(fresh, allowMissingColumns=True)
-        articles = articles.unionByName(left.join(linked.unionByName(fresh).select("article_id"), "article_id", "left_semi"), allowMissingColumns=True)
-        left = checkpointed(open_.join(seeds.select("article_id"), "article_id", "left_anti"))
         step = linked.unionByName(fresh)
+        events = checkpointed(events.unionByName(new, allowMissingColumns=True))
+        links = checkpointed(links.unionByName(step, allowMissingColumns=True))
+        articles = checkpointed(articles.unionByName(left.join(step.select("article_id"), "article_id", "left_semi"), allowMissingColumns=True))
+        left = checkpointed(open_.join(fresh.select("article_id"), "article_id", "left_anti"))
         made_links = step if made_links is None else made_links.unionByName(step)
         made_events = new if made_events is None else made_events.unionByName(new)
     return made_links, made_events

@@ -23,10 +23,17 @@ def overview_bullets(claims: DataFrame) -> DataFrame:
     return claims.where(F.size("quotes") > 0).select(*VERSION, "ord", "claim_id", "claim_text", "claim_type", "status", section_of(F.col("status"), F.col("claim_type")).alias("section"), F.col("quotes").alias("citation_refs"))
 
 
+def flag_sums() -> list[Column]:
+    return [F.count("*").alias("claims_count"), F.sum(F.greatest(F.size("quotes"), F.lit(0))).alias("quotes_count"), F.count_if(F.col("status") == "SUPPORTED").alias("supported_count"), F.count_if(F.col("status") == "DISPUTED").alias("disputed_count"), F.count_if(F.size("quotes") > 0).alias("bullets")]
+
+
+def evidence_rate() -> Column:
+    return F.coalesce(F.try_divide("supported_count", "claims_count"), F.lit(0.0))
+
+
 def quality_flags(claims: DataFrame) -> DataFrame:
     """Counts per version: claims, quotes, supported, disputed, evidence_rate."""
-    per = claims.groupBy(*VERSION).agg(F.count("*").alias("claims_count"), F.sum(F.greatest(F.size("quotes"), F.lit(0))).alias("quotes_count"), F.count_if(F.col("status") == "SUPPORTED").alias("supported_count"), F.count_if(F.col("status") == "DISPUTED").alias("disputed_count"), F.count_if(F.size("quotes") > 0).alias("bullets"))
-    return per.withColumn("evidence_rate", F.coalesce(F.try_divide("supported_count", "claims_count"), F.lit(0.0)))
+    return claims.groupBy(*VERSION).agg(*flag_sums()).withColumn("evidence_rate", evidence_rate())
 
 
 def overview_gate(supported: Column, bullets: Column) -> Column:
@@ -36,14 +43,15 @@ def overview_gate(supported: Column, bullets: Column) -> Column:
 def overview_sections(claims: DataFrame) -> DataFrame:
     """One row per version: gate_status, four sections of bullets in claim order, and the counts.
 
-    A failed gate empties the first two sections.
+    Counts and sections come from one grouping. A failed gate empties the
+    first two sections.
     """
-    bullets = overview_bullets(claims)
-    item = F.struct("ord", "claim_id", F.col("claim_text").alias("text"), "claim_type", "status", "citation_refs")
-    lists = bullets.groupBy(*VERSION).agg(*[F.array_sort(F.collect_list(F.when(F.col("section") == k, item))).alias(k) for k, _ in L.SECTIONS])
-    joined = quality_flags(claims).join(lists, VERSION, "left")
+    cited = F.when(F.size("quotes") > 0, section_of(F.col("status"), F.col("claim_type")))
+    item = F.struct("ord", "claim_id", F.col("claim_text").alias("text"), "claim_type", "status", F.col("quotes").alias("citation_refs"))
+    lists = [F.array_sort(F.collect_list(F.when(F.col("__section") == k, item))).alias(k) for k, _ in L.SECTIONS]
+    joined = claims.withColumn("__section", cited).groupBy(*VERSION).agg(*flag_sums(), *lists).withColumn("evidence_rate", evidence_rate())
     gate = overview_gate(F.col("supported_count"), F.col("bullets"))
-    kind = lists.schema["que_paso"].dataType
+    kind = joined.schema["que_paso"].dataType
     none = F.array().cast(kind)
     own = lambda k: F.when((gate == "FAIL") & F.lit(k in ("que_paso", "contexto")), none).otherwise(F.coalesce(k, none))
     sections = F.array(*[F.struct(F.lit(t).alias("title"), F.lit(k).alias("key"), F.transform(own(k), lambda b: b.dropFields("ord")).alias("bullets")) for k, t in L.SECTIONS])

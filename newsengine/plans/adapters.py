@@ -13,8 +13,19 @@ WINDOW_HOURS = 90 * 24.0
 BLOCKED_SOURCE = "src0"
 
 
+#: Tables of texts, whose rows cost much more to process than to read.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt out to all cores if its files give fewer tasks than there are cores; a large table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def now():

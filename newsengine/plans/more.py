@@ -213,10 +213,10 @@ def top_scores_audit(spark, d):
     return K.top_scores_audit(scored, decisions).select("article_id", F.array_join(F.transform("top", lambda t: t["event_id"].cast("string")), ",").alias("top"))
 
 
-@query("WITH e AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 1 THEN o_orderkey - 1 WHEN o_orderkey % 5 = 2 THEN o_orderkey - 1 END AS c FROM orders) SELECT id AS event_id, CASE id % 5 WHEN 1 THEN id - 1 WHEN 2 THEN CASE WHEN id - 1 IN (SELECT id FROM e) THEN id - 2 ELSE id - 1 END ELSE id END AS canonical_id FROM e")
+@query("WITH RECURSIVE e AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 16 > 0 THEN o_orderkey - 1 END AS c FROM orders), r AS (SELECT id, coalesce(c, id) AS place, 0 AS n FROM e UNION ALL SELECT r.id, e.c, n + 1 FROM r JOIN e ON e.id = r.place WHERE e.c IS NOT NULL) SELECT id AS event_id, arg_max(place, n) AS canonical_id FROM r GROUP BY 1")
 def resolve_canonical(spark, d):
-    """Chains of up to two hops over order keys."""
-    o = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.when((F.col("o_orderkey") % 5).isin(1, 2), F.col("o_orderkey") - 1).alias("canonical_event_id"))
+    """Chains of up to fifteen hops over order keys."""
+    o = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.when(F.col("o_orderkey") % 16 > 0, F.col("o_orderkey") - 1).alias("canonical_event_id"))
     return K.resolve_canonical(o)
 
 
@@ -441,5 +441,5 @@ def link_incremental(spark, d):
     day = F.lit("2024-01-01").cast("timestamp")
     batch = vectors.select("article_id", F.col("event_id").cast("string").alias("media_id"), F.lit("").alias("title"), F.lit("").alias("snippet"), "embedding_vec", day.alias("published_at"))
     events = batch.where("1 = 0").select(F.lit("").alias("event_id"), F.lit("").alias("state"), day.alias("t0"), day.alias("t_last"))
-    made, _ = K.link_incremental(batch, events, events.select("event_id", F.lit(None).cast("long").alias("article_id")), batch.where("1 = 0"), day, rounds=2)
+    made, _ = K.link_incremental(batch, events, events.select("event_id", F.lit(None).cast("long").alias("article_id")), batch.where("1 = 0"), day)
     return made

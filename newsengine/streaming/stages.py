@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsengine.functions import lexicons as L
 from newsengine.operators import eventlog as E
 from newsengine.operators.bias import FEATURES
+from newsengine.sources.shared import checkpointed
 
 
 def envelopes(raw: DataFrame, json_col: str = "json") -> DataFrame:
@@ -68,24 +69,36 @@ def running_profiles(means: DataFrame) -> DataFrame:
     return means.groupBy("media_id").applyInPandasWithState(fold, PROFILE, state_type, "update", "NoTimeout")
 
 
+#: Parts of a sink by key; a batch reads only the parts that it has keys in.
+SINK_PARTS = 256
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a sink has any committed file."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def stage_sink(stage: Callable[[DataFrame], DataFrame], path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: apply the stage, append what is new by ``keys``.
 
     A batch that runs again after a failure finds its rows there and appends
-    none, so the sink holds each key once.
+    none, so the sink holds each key once. The sink is partitioned by a hash
+    of the keys; a batch looks up its keys in its own parts only, and there
+    reads the key columns alone.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        made = stage(batch).dropDuplicates(keys)
+        made = checkpointed(stage(batch).dropDuplicates(keys).withColumn("sink_part", F.pmod(F.xxhash64(*keys), F.lit(SINK_PARTS)).cast("int")))
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(path).select(*keys)
-        except Exception as e:  # no batch has been written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = None
-        fresh = made if old is None else made.join(old, keys, "left_anti")
-        fresh.write.mode("append").parquet(path)
+        # At most SINK_PARTS numbers.
+        parts = [r[0] for r in made.select("sink_part").distinct().collect()]
+        if not parts:
+            return
+        if written(spark, path):
+            old = spark.read.schema(made.schema).parquet(path).where(F.col("sink_part").isin(parts)).select(*keys)
+            made = made.join(old, keys, "left_anti")
+        made.repartition("sink_part").write.mode("append").partitionBy("sink_part").parquet(path)
 
     return run
 
@@ -95,15 +108,16 @@ def chain(source: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFr
 
     The first stage reads ``source``, a stream; each next one streams from the
     sink before it. With the default trigger all available data is processed
-    and the call returns.
+    and the call returns; a stage that has left nothing ends the chain.
     """
     spark = source.sparkSession
     for name, stage, keys in steps:
         sink = f"{folder}/{name}"
         q = source.writeStream.foreachBatch(stage_sink(stage, sink, keys)).option("checkpointLocation", f"{folder}/_checkpoints/{name}").trigger(**(trigger or {"availableNow": True})).start()
         q.awaitTermination()
-        schema = spark.read.parquet(sink).schema
-        source = spark.readStream.schema(schema).parquet(sink)
+        if not written(spark, sink):
+            return
+        source = spark.readStream.schema(spark.read.parquet(sink).schema).parquet(sink).drop("sink_part")
 
 
 def slot_of(ts: Column, minutes: int = 30) -> Column:

@@ -367,3 +367,25 @@ def test_envelopes_and_metrics(spark):
     v = spark.createDataFrame([("m", float(k), h(k)) for k in range(4)], "metric string, value double, ts timestamp")
     r = eventlog.histogram_summary(v).first()
     assert (r["count"], r.p50, r.p95, r.p99) == (4, 2.0, 3.0, 3.0)
+
+
+def test_canonical_chains_of_any_length(spark):
+    rows = [(k, k - 1 if k % 40 else None) for k in range(120)] + [(500, 499)]
+    got = {r.event_id: r.canonical_id for r in linking.resolve_canonical(spark.createDataFrame(rows, "event_id long, canonical_event_id long")).collect()}
+    assert got == {k: k // 40 * 40 for k in range(120)} | {500: 499}
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "event_id long, canonical_event_id long")
+    with pytest.raises(ValueError):
+        linking.resolve_canonical(ring, most_rounds=4)
+
+
+def test_alike_articles_of_one_batch_link_to_each_other(spark):
+    at = F.lit("2024-01-01").cast("timestamp")
+    vec = lambda k: [float(i == k) for i in range(4)]
+    rows = [(1, vec(0)), (2, vec(0)), (3, vec(1)), (4, vec(0)), (5, vec(1)), (6, vec(2))]
+    batch = spark.createDataFrame(rows, "article_id long, embedding_vec array<double>").select("*", F.lit("Ana Diaz").alias("title"), F.lit("").alias("snippet"), F.lit("m").alias("media_id"), at.alias("published_at"))
+    events = batch.where("1 = 0").select(F.lit("").alias("event_id"), F.lit("").alias("state"), at.alias("t0"), at.alias("t_last"))
+    made, new = linking.link_incremental(batch, events, events.select("event_id", F.lit(None).cast("long").alias("article_id")), batch.where("1 = 0"), at)
+    groups = {}
+    for r in made.collect():
+        groups.setdefault(r.event_id, set()).add(r.article_id)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 4], [3, 5], [6]] and new.count() == 3

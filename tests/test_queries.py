@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from newsengine.plans import more, parts, queries  # noqa: F401  register the queries
+from newsengine.plans import more, parts, queries, single  # noqa: F401  register the queries
 
 FOLDER = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -62,3 +62,14 @@ def test_stage_chain_is_idempotent(spark, tmp_path):
     again = stages.stage_sink(lambda b: b, f"{out}/gated", ["event_id"])
     again(spark.createDataFrame([("m1", "a1")], "event_id string, article_id string"), 9)
     assert spark.read.parquet(f"{out}/gated").count() == 8
+
+
+def test_sink_reads_only_the_parts_of_a_batch(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    put = stages.stage_sink(lambda b: b, path, ["k"])
+    frame = lambda ks: spark.createDataFrame([(k, k * 2) for k in ks], "k long, v long")
+    put(frame(range(50)), 0)
+    put(frame(range(40, 60)), 1)
+    put(frame(range(40, 60)), 1)
+    put(frame([]), 2)
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == list(range(60))
