@@ -226,24 +226,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left out. Rows that repeat an id with one text are one document; an id
     with several texts belongs to the class that joins them.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("hash", F.md5("text"))
-    signed = cut(sign(rows, "text", ["id", "hash"]).groupBy("hash").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("hash", F.unhex(F.md5("text")))
+    signed = cut(sign(rows, "text", ["id", "hash"]).groupBy("hash").agg(F.min("id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
+    # The written rows are numbered, so buckets, pairs and links hold short ids whatever those of the documents are.
+    signed = signed.select(F.monotonically_increasing_id().alias("id"), "hash", "least", "n_shingles", "bands")
     keyed = signed.where("bands is not null").select("id", "n_shingles", F.posexplode("bands")).select("id", "n_shingles", F.xxhash64("pos", "col").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     keyed = cut(keyed.join(shared, "key"))
     sizes = signed.select("id", "n_shingles")
-    wanted = keyed.select("id").distinct()
-    texts = cut(rows.select("id", "hash", "text").join(signed.select("id", "hash"), ["id", "hash"], "left_semi").join(wanted, "id", "left_semi").select("id", "text"))
+    wanted = signed.select("id", "hash").join(keyed.select("id").distinct(), "id", "left_semi")
+    # Texts move once: copies meet in the task that reads them, and the rest is dealt by hash.
+    texts = cut(rows.groupBy("hash").agg(F.first("text").alias("text")).join(wanted, "hash").select("id", "text"))
 
     def possible(pairs: DataFrame) -> DataFrame:
         n = lambda c: sizes.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"))
         return pairs.join(n("a"), "a").join(n("b"), "b").where((F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))).select("a", "b")
 
     tested = cut(possible(stars(keyed)))
-    edges = cut(verify(tested, texts, least).select("a", "b"))
-    labels = components(edges)
+    labels = components(cut(verify(tested, texts, least).select("a", "b")))
     fresh = cut(across(cut(meeting(keyed, labels)), texts, least).join(tested, ["a", "b"], "left_anti"))
     if fresh.limit(1).count():
         labels = components(cut(verify(fresh, texts, least).select("a", "b")), labels)
-    classes = signed.select("hash", F.col("id").alias("exact_id")).join(labels.select(F.col("id").alias("exact_id"), F.col("comp")), "exact_id", "left").select("hash", "exact_id", F.coalesce("comp", "exact_id").alias("class_id"))
+    joined = signed.select("id", "hash", "least").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    named = joined.groupBy("comp").agg(F.min("least").alias("class_id"))
+    classes = joined.join(named, "comp").select("hash", F.col("least").alias("exact_id"), "class_id")
     return rows.select("id", "hash").distinct().join(classes, "hash").groupBy(F.col("id").alias(id_col)).agg(F.min("exact_id").alias("exact_id"), F.min("class_id").alias("class_id"))
