@@ -32,13 +32,15 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Texts stand for themselves by their digest, so rows without an id take part
     and different texts of one id stay apart.
     """
-    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    classes = near_duplicates(docs.select(key.alias("text_id"), "text"), id_col="text_id").select("text_id", "class_id")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")
-    firsts = docs.select("doc_id", key.alias("text_id")).groupBy("text_id").agg(F.min(rank).alias("first"))
-    least = firsts.join(classes, "text_id").groupBy("class_id").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.text_id").alias("__text_id"))
-    found = docs.withColumn("__key", key).join(least, (F.col("__key") == F.col("__text_id")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return found.dropDuplicates(["__key"]).select(*docs.columns)
+    key = F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_id")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *others)
+    classes = near_duplicates(docs.select(key, "text"), id_col="text_id").select("text_id", "class_id")
+    ranked = docs.groupBy(key).agg(F.min(rank).alias("rank")).join(classes, "text_id")
+    chosen = ranked.groupBy("class_id").agg(F.min(F.struct("rank", "text_id")).alias("least")).select("least.text_id")
+    # One row of each text: copies meet in the task that reads them, so each text is moved once.
+    firsts = docs.groupBy(key).agg(F.min_by(F.struct(*docs.columns), rank).alias("row"))
+    return firsts.join(chosen, "text_id", "left_semi").select("row.*")
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
