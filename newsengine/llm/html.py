@@ -24,18 +24,18 @@ from newsengine.llm.frames import map_columns, prepare_workers
 # Fixed values of HTML: elements without an end tag, text-level elements,
 # elements whose content is no text, and which open elements a start tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
-RAW = frozenset("script style template noscript iframe svg math object canvas audio video".split())
+INLINE = frozenset("math mi mn mo ms mtext mrow msup msub mfrac msqrt mroot mover munder semantics annotation a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style".split())
+HIDDEN = frozenset("script style template iframe svg".split())
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head", "title"}}
 ENDS |= {t: {"p"} for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split()}
-SCAN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTRS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 PATH_SLOTS, WORD_SLOTS, RATES = 64, 32, 8
 INPUTS = PATH_SLOTS + WORD_SLOTS + RATES
-#: Sequences of more blocks are read by the network in pieces that overlap by CONTEXT blocks.
-LONGEST, CONTEXT = 1024, 128
+#: The network reads longer sequences in pieces of so many blocks, carrying its states from piece to piece.
+PIECE = 1024
 
 
 @dataclass
@@ -49,34 +49,111 @@ class Block:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+SPACE = " \t\n\r\f/"
+
+
+def tag_end(page: str, at: int) -> int:
+    """Where the tag whose attributes begin at ``at`` ends, past its ``>``; -1 if it never does.
+
+    A quote opens a value only right after ``=``, so a quote elsewhere is a
+    plain character; one that is never closed ends with the first ``>``.
+    """
+    size, start = len(page), at
+    close: dict[str, int] = {}
+    while True:
+        mark = MARK.search(page, at)
+        if mark is None:
+            return -1
+        if mark[0] == ">":
+            return mark.end()
+        quote = mark[0][-1]
+        if close.get(quote) == -1:
+            at = mark.end()
+            continue
+        close[quote] = end = page.find(quote, mark.end())
+        if end < 0:
+            first = page.find(">", start)
+            return first + 1 if first >= 0 else -1
+        at = min(end + 1, size)
+
+
+MARK = re.compile(r">|=[ \t\n\r\f]*[\"']")
+
+
+def scan(page: str):
+    """(kind, name, stretch) of each piece of a page: text, a start or an end tag; every character is looked at a bounded number of times.
+
+    Comments, declarations and the content of ``RAW`` elements give nothing;
+    a ``<`` that begins no tag is text, and so is a tag that never ends.
+    """
+    at, size = 0, len(page)
+    endless: dict[str, bool] = {}
+    while at < size:
+        low = page.find("<", at)
+        if low != at:
+            yield "text", "", page[at : low if low >= 0 else size]
+            if low < 0:
+                return
+            at = low
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        if page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at)
+            at = end + 1 if end >= 0 else size
+            continue
+        m = TAG.match(page, at)
+        end = tag_end(page, m.end()) if m and not endless.get("tag") else -1
+        if end < 0:
+            if m:
+                endless["tag"] = True
+            yield "text", "", "<"
+            at += 1
+            continue
+        name = m[2].lower()
+        yield ("end" if m[1] else "start"), name, page[m.end() : end - 1]
+        at = end
+        if not m[1] and name in RAW and not endless.get(name):
+            close = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
+            if close is None:
+                endless[name] = True  # an element that is never closed hides nothing but its own text
+                after = page.find("<", at)
+                at = after if after >= 0 else size
+            else:
+                at = close.start()
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks with text, in page order; markup inside a block is dropped, ``br`` is white space."""
-    page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
-    links, at, size = 0, 0, len(page)
+    links = hidden = 0
     now: Block | None = None
 
     def path() -> tuple[str, ...]:
         return tuple(x for _, marks in stack for x in marks)
 
-    while at < size:
-        m = SCAN.match(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            if m[0][0] != "<" or m[0] == "<":
-                if now is None:
-                    if m[0].isspace():
-                        continue
-                    now = Block(path())
-                    out.append(now)
-                now.parts.append(m[0])
-                if links:
-                    now.linked += len(m[0])
+    for kind, name, rest in scan(page or ""):
+        if kind == "text":
+            if hidden:
+                continue
+            if now is None:
+                if rest.isspace():
+                    continue
+                now = Block(path())
+                out.append(now)
+            now.parts.append(rest)
+            if links:
+                now.linked += len(rest)
+            continue
+        if name in HIDDEN:
+            hidden = max(0, hidden + (1 if kind == "start" and not rest.endswith("/") else -1 if kind == "end" else 0))
             continue
-        name = name.lower()
-        if m[1]:
+        if name not in INLINE and kind == "end" and name in ("article", "body", "html", "main"):
+            hidden = 0  # what was left open inside ends with it
+        if kind == "end":
             if name == "a":
                 links = max(0, links - 1)
             if name not in INLINE and name not in VOID:
@@ -87,11 +164,6 @@ def blocks(page: str | None) -> list[Block]:
                         links = 0
                         break
             continue
-        if name in RAW:
-            if not m[0].endswith("/>"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
-            continue
         if name == "br":
             if now is not None:
                 now.parts.append(" ")
@@ -108,7 +180,7 @@ def blocks(page: str | None) -> list[Block]:
                 break
             del stack[k]
         marks = [name]
-        for a in ATTRS.finditer(m[3]):
+        for a in ATTRS.finditer(rest):
             marks += [f"{x.lower()}" for x in NAME.findall(a[2] or a[3] or a[4] or "")]
         stack.append((name, tuple(f"<{marks[0]}>" if i == 0 else x for i, x in enumerate(marks))))
     return [b for b in out if b.text]
@@ -172,14 +244,17 @@ class BiLstm:
         w[:, -1, hidden : 2 * hidden] = 1  # forget gates start open
         return cls(w, rng.normal(0, 0.2, 2 * hidden + 1).astype(np.float32))
 
-    def one_way(self, x: np.ndarray, mask: np.ndarray, way: int, trace: list | None = None) -> np.ndarray:
-        """Hidden states (pages, steps, hidden); way 1 reads backwards. Masked steps keep the state."""
+    def one_way(self, x: np.ndarray, mask: np.ndarray, way: int, trace: list | None = None, state: list[np.ndarray] | None = None) -> np.ndarray:
+        """Hidden states (pages, steps, hidden); way 1 reads backwards. Masked steps keep the state.
+
+        ``state`` holds the two states to begin with, and those at the end afterwards.
+        """
         n, steps, _ = x.shape
         size = self.w.shape[2] // 4
         w = self.w[way]
         gates_in = x.reshape(-1, INPUTS) @ w[:INPUTS] + w[-1]
         gates_in = gates_in.reshape(n, steps, -1)
-        h, c = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
+        h, c = state or (np.zeros((n, size), np.float32), np.zeros((n, size), np.float32))
         hidden = np.zeros((n, steps, size), np.float32)
         for t in range(steps - 1, -1, -1) if way else range(steps):
             g = gates_in[:, t] + h @ w[INPUTS:-1]
@@ -193,6 +268,8 @@ class BiLstm:
             c = np.where(m, c_new, c)
             h = np.where(m, s[:, 2 * size :] * th, h)
             hidden[:, t] = h
+        if state is not None:
+            state[:] = h, c
         return hidden
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -251,28 +328,32 @@ class BiLstm:
                     b += 0.001 * (g**2 - b)
                     p -= slow * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
 
+    def long_logits(self, page: np.ndarray) -> np.ndarray:
+        """The same for one page of any length in bounded memory: states go on from piece to piece, both ways."""
+        size = self.w.shape[2] // 4
+        starts = list(range(0, len(page), PIECE))
+        out = np.full(len(page), self.out[-1], np.float32)
+        for way in (0, 1):
+            state = [np.zeros((1, size), np.float32), np.zeros((1, size), np.float32)]
+            for at in reversed(starts) if way else starts:
+                x, mask = padded([page[at : at + PIECE]])
+                out[at : at + PIECE] += self.one_way(x, mask, way, None, state)[0] @ self.out[way * size : (way + 1) * size]
+        return out
+
     def main_blocks(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Whether each block of each page is main text; very long pages are read in overlapping pieces."""
-        pieces, where = [], []
-        for k, p in enumerate(pages):
-            for at in range(0, len(p), LONGEST) if len(p) > LONGEST else [0] if len(p) else []:
-                low = max(0, at - CONTEXT)
-                pieces.append(p[low : at + LONGEST + CONTEXT])
-                where.append((k, at, at - low))
-        out = [np.zeros(len(p), bool) for p in pages]
-        order = np.argsort([len(p) for p in pieces], kind="stable")
+        """Whether each block of each page is main text, read with the whole page as context whatever its length."""
+        out = [np.zeros(len(p), bool) if len(p) <= PIECE else self.long_logits(p) > 0 for p in pages]
+        order = [i for i in np.argsort([len(p) for p in pages], kind="stable") if 0 < len(pages[i]) <= PIECE]
         at = 0
         while at < len(order):
             group = [order[at]]
-            while at + len(group) < len(order) and len(group) < 128 and len(pieces[order[at + len(group)]]) * (len(group) + 1) <= 16_384:
+            while at + len(group) < len(order) and len(group) < 128 and len(pages[order[at + len(group)]]) * (len(group) + 1) <= 16_384:
                 group.append(order[at + len(group)])
             at += len(group)
-            x, mask = padded([pieces[i] for i in group])
+            x, mask = padded([pages[i] for i in group])
             yes = self.logits(x, mask) > 0
             for r, i in enumerate(group):
-                k, start, skip = where[i]
-                n = min(LONGEST, len(pages[k]) - start)
-                out[k][start : start + n] = yes[r, skip : skip + n]
+                out[i] = yes[r, : len(pages[i])]
         return out
 
 
@@ -369,8 +450,8 @@ def train(pages: list[str | None], made: int = 1500, seed: int = 11) -> BiLstm:
         texts += [b.text for b in found if weak_label(b.path) == 1.0]
         y = [weak_label(b.path) for b in found]
         if found and None not in y:
-            xs.append(reader.vectors([(b.path, b.text, b.linked) for b in found])[:LONGEST])
-            ys.append(np.array(y, np.float32)[:LONGEST])
+            xs.append(reader.vectors([(b.path, b.text, b.linked) for b in found]))
+            ys.append(np.array(y, np.float32))
     texts = texts or ["A sentence of some words, to begin with.", "Short text."]
     for _ in range(made):
         rows, y = made_page(rng, texts)
