@@ -139,9 +139,15 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def stars(keyed: DataFrame) -> DataFrame:
-    """(a, b): each member of a bucket with the bucket's least member."""
-    heads = keyed.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high")).where("n > 1").select("key", "b")
-    return keyed.select("key", F.col("id").alias("a")).join(heads, "key").where("a <> b").select("a", "b").distinct()
+    """(a, b): each member of a bucket (key, id, m) with the bucket's head, the member that meets most others in all its buckets.
+
+    Edited copies of one text are less like each other than like that text.
+    It agrees with the most of them, so it is the head wherever it occurs and
+    one round links them all. At a tie the least id is the head.
+    """
+    fame = keyed.groupBy("id").agg(F.sum("m").alias("fame"))
+    heads = keyed.join(fame, "id").groupBy("key").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("b"))
+    return keyed.select("key", F.col("id").alias("a")).join(heads, "key").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def commonness(texts: DataFrame) -> np.ndarray:
@@ -219,8 +225,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``least``; ``class_id`` is the least id of the connected class.
 
     Equal texts stand for each other, so thousands of copies cost one
-    signature row. In a bucket every text is first compared with the least
-    one; then all texts whose classes still meet in a bucket are compared with
+    signature row. In a bucket every text is first compared with the one
+    that meets most others; then all texts whose classes still meet in a bucket are compared with
     each other, by an exact filter on their rarest shingles. Null texts count as empty; empty
     texts are copies of each other and similar to nothing else. Null ids are
     left out. Rows that repeat an id with one text are one document; an id
@@ -231,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The written rows are numbered, so buckets, pairs and links hold short ids whatever those of the documents are.
     signed = signed.select(F.monotonically_increasing_id().alias("id"), "hash", "least", "n_shingles", "bands")
     keyed = signed.where("bands is not null").select("id", "n_shingles", F.posexplode("bands")).select("id", "n_shingles", F.xxhash64("pos", "col").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     keyed = cut(keyed.join(shared, "key"))
     sizes = signed.select("id", "n_shingles")
     wanted = signed.select("id", "hash").join(keyed.select("id").distinct(), "id", "left_semi")

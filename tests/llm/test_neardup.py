@@ -112,3 +112,18 @@ def test_contracted_components_equal_those_of_all_edges(spark):
     in_turn = {tuple(r) for r in components(frame(more), components(frame(first))).collect()}
     assert at_once == in_turn == {(1, 1), (2, 1), (3, 1), (10, 1), (11, 1), (20, 20), (21, 20)}
     assert components(frame([])).count() == 0
+
+
+def test_edited_copies_link_through_the_text_they_were_made_from(spark):
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(7000, " ".join(base))]
+    for i in range(150):
+        own = list(base)
+        for at in rng.sample(range(400), 6):
+            own[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(own)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0} and len(got) == 151
