@@ -13,17 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
-from newsengine.llm.frames import prepare_workers
+from newsengine.llm.frames import cut, prepare_workers
 
 # How transcripts mark speakers, and the canonical turn.
 ROLES = ["system", "user", "assistant"]
 SPEAKERS = {"system": "system|context|instructions?|sys", "user": "user|human|customer|question|you|q|me", "assistant": "assistant|ai|bot|model|answer|agent|gpt|a"}
-MARKER = re.compile(r"^\s*(?:[\[<(*#>|-]+\s*)?(" + "|".join(f"(?P<{r}>{p})" for r, p in SPEAKERS.items()) + r")(?:\s*[\])>*|]+\s*[:>-]?|\s*[:>-])\s*", re.I)
+NAMES = "(" + "|".join(f"(?P<{r}>{p})" for r, p in SPEAKERS.items()) + ")"
+#: A hint for the model: a speaker's name with any mark around or behind it.
+MARKER = re.compile(r"^\s*(?:[\[<(*#>|-]+\s*)?" + NAMES + r"(?:\s*[\])>*|]+\s*[:>-]?|\s*[:>-])\s*", re.I)
+#: What is taken away: a name and a colon, or a name in a closed pair of brackets, and one space behind it.
+SPOKEN = re.compile(r"(?:" + NAMES + r"[ \t]*:|(?:\[" + NAMES.replace("(?P<", "(?P<b_") + r"\]|<\|?" + NAMES.replace("(?P<", "(?P<c_") + r"\|?>|\*\*" + NAMES.replace("(?P<", "(?P<d_") + r":?\*\*)[ \t]*:?) ?", re.I)
 TURN = "<|{role}|>\n{text}<|end|>\n"
 #: States: role * 2, plus 1 where a line goes on with the turn before.
 STATES = 2 * len(ROLES)
-#: Rows of one conversation whose order column is within one block of this size are decoded in one piece.
+#: So many rows of a conversation, one after another, are decoded in one piece.
 PIECE = 256
 FEATURES = [len(ROLES) + 1, 5, 2, 2]  # kinds: marker, length, question, first line of its row
 
@@ -88,10 +93,25 @@ def states_of(role: str | None, n: int) -> list[int]:
 
 
 def ordered(df: DataFrame, conv: str, order: str, *cols: str) -> DataFrame:
-    """Rows of one piece together and in order; ties are ordered by the text."""
-    piece = F.floor(F.coalesce(F.col(order), F.lit(-1)) / PIECE)
-    base = df.select(F.col(conv).alias("__conv"), F.col(order).alias("__order"), piece.alias("__piece"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(cols)])
-    return base.repartition("__conv", "__piece").sortWithinPartitions("__conv", "__piece", "__order", *[f"__c{i}" for i in range(len(cols))])
+    """Rows of one piece, PIECE of a conversation's rows at most, together and in order; ties are ordered by the text.
+
+    Rows are dealt out by ranges of (conversation, order, text, a number of
+    their own). A row's place is its number within its range plus the sizes of
+    the conversation's earlier ranges, so a conversation of any size, whatever
+    its order column holds, is spread over many tasks.
+    """
+    names = [f"__c{i}" for i in range(len(cols))]
+    base = df.select(F.col(conv).alias("__conv"), F.col(order).alias("__order"), *[F.col(c).alias(n) for c, n in zip(cols, names, strict=True)])
+    ranged = cut(base.withColumn("__own", F.monotonically_increasing_id()).repartitionByRange("__conv", "__order", *names, "__own").withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("__conv", "__range").agg(F.count("*").alias("__size"))
+    # One row per conversation and range.
+    before = Window.partitionBy("__conv").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("__conv").alias("__c"), F.col("__range").alias("__r"), F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    number = F.row_number().over(Window.partitionBy("__conv", "__range").orderBy("__order", *names, "__own")) - 1
+    placed = ranged.withColumn("__number", number).join(sizes, F.col("__conv").eqNullSafe(F.col("__c")) & (F.col("__range") == F.col("__r")))
+    row = F.col("__before") + F.col("__number")
+    pieces = placed.select("__conv", "__order", F.floor(row / PIECE).alias("__piece"), row.alias("__row"), *names)
+    return pieces.repartition("__conv", "__piece").sortWithinPartitions("__conv", "__piece", "__row")
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -149,7 +169,7 @@ def boundaries(source: DataFrame, model: Hmm) -> DataFrame:
     arrow = to_arrow_type(kind)
     long = source.groupBy("__conv").agg(F.min("__piece").alias("a"), F.max("__piece").alias("b")).where("a < b").select(F.col("__conv").alias("conv"))
     several = source.join(long, F.col("__conv").eqNullSafe(F.col("conv")), "left_semi")
-    several = several.repartition("__conv", "__piece").sortWithinPartitions(*source.columns)
+    several = several.repartition("__conv", "__piece").sortWithinPartitions("__conv", "__piece", "__row")
 
     def matrices(batches):
         for rows in runs(batches):
@@ -175,16 +195,28 @@ def boundaries(source: DataFrame, model: Hmm) -> DataFrame:
     return made.mapInArrow(chain, T.StructType([*schema.fields[:2], T.StructField("before", T.IntegerType()), T.StructField("after", T.IntegerType())]))
 
 
+def without_marker(line: str, role: str) -> str:
+    """``line`` without a speaker's marker at its very start that names ``role``; anything else stays as it is."""
+    m = SPOKEN.match(line)
+    if m is None or not any(m[f"{p}{role}"] for p in ("", "b_", "c_", "d_")):
+        return line
+    return line[m.end() :]
+
+
 def render(lines: list[str], states: list[int]) -> tuple[str, str, int]:
-    """(role of the first line, canonical turns, number of turns) of one row; markers go."""
+    """(role of the first line, canonical turns, number of turns) of one row.
+
+    A turn's first line loses a marker that names the decoded role; all other
+    characters stay, white space included. An empty text is one empty turn.
+    """
     turns: list[list] = []
     for line, s in zip(lines, states, strict=True):
-        plain = MARKER.sub("", line, count=1)
         if s % 2 == 0 or not turns:
-            turns.append([ROLES[s // 2], [plain]])
+            turns.append([ROLES[s // 2], [without_marker(line, ROLES[s // 2])]])
         else:
             turns[-1][1].append(line)
-    return turns[0][0], "".join(TURN.format(role=r, text="\n".join(ls).strip() + ("\n" if "\n".join(ls).strip() else "")) for r, ls in turns), len(turns)
+    text = lambda ls: "\n".join(ls) + ("\n" if any(ls) else "")
+    return turns[0][0], "".join(TURN.format(role=r, text=text(ls)) for r, ls in turns), len(turns)
 
 
 def format_chats(transcripts: DataFrame, model: Hmm, conv: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
@@ -195,13 +227,14 @@ def format_chats(transcripts: DataFrame, model: Hmm, conv: str = "conv_id", orde
     of the row's first line, ``rendered`` the row's turns in one canonical
     form. Null texts are one empty line, null conversations are one
     conversation, rows without an order come first, ties are ordered by the
-    text. Other columns are not read. Conversations over ``PIECE`` in order
-    are decoded in pieces whose ends are fixed by the whole conversation.
+    text. Other columns are not read. Conversations of more than ``PIECE``
+    rows are decoded in pieces whose ends are fixed by the whole conversation,
+    from 42 numbers of each piece.
     """
-    source = ordered(transcripts, conv, order, text)
+    source = cut(ordered(transcripts, conv, order, text))
     ends = boundaries(source, model)
     joined = source.join(ends, F.col("__conv").eqNullSafe(F.col("conv")) & (F.col("__piece") == F.col("piece")), "left").select(*source.columns, "before", "after")
-    joined = joined.repartition("__conv", "__piece").sortWithinPartitions(*source.columns)
+    joined = joined.repartition("__conv", "__piece").sortWithinPartitions("__conv", "__piece", "__row")
     fields = [T.StructField(conv, source.schema["__conv"].dataType), T.StructField(order, source.schema["__order"].dataType), T.StructField("role", T.StringType()), T.StructField("n_lines", T.IntegerType()), T.StructField("n_turns", T.IntegerType()), T.StructField("rendered", T.StringType())]
     arrow = [to_arrow_type(f.dataType) for f in fields]
 

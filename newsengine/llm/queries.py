@@ -145,9 +145,14 @@ def transcripts(conversations: DataFrame) -> DataFrame:
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recover the roles of every conversation's transcript and render its turns."""
+    """Recover the roles of every conversation's transcript and render its turns.
+
+    Each half of the conversations is decoded by the model of the other half.
+    """
     given = transcripts(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    return format_chats(given.drop("role"), fit_hmm(given))
+    half = F.pmod(F.xxhash64("conv_id"), F.lit(8)) < 4
+    done = [format_chats(given.where(here).drop("role"), fit_hmm(given.where(~here))) for here in (half, ~half)]
+    return done[0].unionByName(done[1])
 
 
 def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,23 @@ def test_edges(spark):
     assert format_chats(df, fit).count() == 5
     assert format_chats(df.limit(0), fit).count() == 0
     assert np.isfinite(fit_hmm(df.limit(0)).step).all()
+
+
+def test_only_markers_of_the_decoded_role_go():
+    from newsengine.llm.chat import render, without_marker
+
+    for line in ("A) first option", "Model: T5 | size", "Q - is a letter", "  indented", "you - and me", "[1] note"):
+        assert without_marker(line, "user") == line
+    assert without_marker("User:  two spaces", "user") == " two spaces"
+    assert without_marker("[AI] yes", "assistant") == "yes" and without_marker("**Human:** x", "user") == "x"
+    assert without_marker("User: x", "assistant") == "User: x"
+    assert render(["  def f():", "    return 1  "], [2, 3]) == ("user", "<|user|>\n  def f():\n    return 1  \n<|end|>\n", 1)
+    assert render([""], [2]) == ("user", "<|user|>\n<|end|>\n", 1)
+
+
+def test_a_conversation_without_an_order_is_cut_into_pieces(spark):
+    from newsengine.llm.chat import ordered
+
+    df = spark.createDataFrame([(1, None, "same")] * (3 * PIECE) + [(None, 1, "x")] * (PIECE + 1), "conv_id long, turn long, text string")
+    sizes = {(r["__conv"], r["__piece"]): r["count"] for r in ordered(df, "conv_id", "turn", "text").groupBy("__conv", "__piece").count().collect()}
+    assert sizes == {(1, 0): PIECE, (1, 1): PIECE, (1, 2): PIECE, (None, 0): PIECE, (None, 1): 1}

@@ -74,3 +74,31 @@ def test_other_layouts_held_out(model):
 def test_long_pages_in_pieces(model):
     rows = [(("<html>", "<body>", "<article>", "<p>"), f"Paragraph number {i} of the long text, with words.", 0) for i in range(2500)]
     assert model.main_blocks([Reader().vectors(rows)])[0].mean() > 0.95
+
+
+def test_scanner_keeps_text_and_is_linear():
+    import time
+
+    from newsengine.llm.html import blocks
+
+    texts = lambda p: [b.text for b in blocks(p)]
+    assert texts("<p title=it's>hello</p><p>two") == ["hello", "two"]
+    assert texts("<p>x <math><mi>a</mi>+b</math> y<noscript>no</noscript>") == ["x a+b y", "no"]
+    assert texts("<p>a<script>if(a<b){</script><div class='x>y'>b</div><svg><text>q</text></svg>") == ["a", "b"]
+    assert texts("<p>u 1 < 2 &lt; 3</p>") == ["u 1 < 2 < 3"] and texts(None) == []
+    began = time.time()
+    for part in ('<a "', '<a x="', "<a x='>", "<script>", "<!-- ", "<p><"):
+        blocks(part * 40_000)
+    assert time.time() - began < 20
+
+
+def test_a_long_page_is_read_as_one_sequence():
+    import numpy as np
+
+    from newsengine.llm.html import INPUTS, PIECE, BiLstm, padded
+
+    model = BiLstm.new()
+    page = np.random.default_rng(1).normal(0, 1, (2 * PIECE + 77, INPUTS)).astype(np.float32)
+    x, mask = padded([page])
+    assert np.allclose(model.logits(x, mask)[0], model.long_logits(page), atol=1e-4)
+    assert (model.main_blocks([page, page[:5], page[:0]])[0] == (model.logits(x, mask)[0] > 0)).all()
