@@ -43,12 +43,16 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return firsts.join(chosen, "text_id", "left_semi").select("row.*")
 
 
+#: Bytes from which on a repeated string counts as a passage here: 51 words of four letters with a space each.
+PASSAGE = 255
+
+
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that occur twice or more; a cut inside a character leaves U+FFFD.
+    """Documents without the strings of ``PASSAGE`` bytes that occur twice or more; a cut inside a character leaves U+FFFD.
 
     No document goes: one that is all repeated keeps its row with an empty text.
     """
-    left = remove_repeats(docs, keep=[c for c in docs.columns if c not in ("text", "n_chars")])
+    left = remove_repeats(docs, window=PASSAGE, keep=[c for c in docs.columns if c not in ("text", "n_chars")])
     text = F.expr("make_valid_utf8(cast(kept as string))")
     return left.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
