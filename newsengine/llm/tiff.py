@@ -21,8 +21,10 @@ SCHEMES = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773}
 SCHEME_OF = {1: "none", 5: "lzw", 8: "deflate", 32946: "deflate", 32773: "packbits"}
 FIELD = {1: ("B", 1), 2: ("B", 1), 3: ("H", 2), 4: ("I", 4), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4)}
 LZW_CLEAR, LZW_END = 256, 257
-#: A page of more samples than this is refused as malformed.
-MAX_PAGE = 1 << 30
+#: A page of more samples than a BINARY value can hold is refused.
+MAX_PAGE = (1 << 31) - 1
+#: How pages can be stored: scheme, predictor, and tiles or strips of rows.
+LAYOUTS = [(scheme, predictor, tile) for scheme in ("deflate", "packbits", "lzw", "none") for predictor in (1, 2) for tile in (None, (32, 64))]
 
 
 class TiffError(ValueError):
@@ -73,43 +75,46 @@ def unpackbits(data: bytes, size: int) -> bytes:
 
 
 def lzw(data: bytes) -> bytes:
-    """Most significant bit first, codes of 9 to 12 bits that widen one code early."""
-    codes: list[tuple[int, int]] = [(LZW_CLEAR, 9)]
-    known = {bytes([i]): i for i in range(256)}
-    nxt, width, word = 258, 9, b""
+    """Most significant bit first, codes of 9 to 12 bits that widen one code early.
+
+    A string is known by its code and next byte, so a step is one look-up;
+    the codes become bits in one pass over arrays.
+    """
+    codes, widths = [LZW_CLEAR], [9]
+    known: dict[int, int] = {}
+    nxt, width, now = 258, 9, -1
     for b in data:
-        longer = word + bytes((b,))
-        if longer in known:
-            word = longer
+        if now < 0:
+            now = b
+            continue
+        key = now << 8 | b
+        longer = known.get(key)
+        if longer is not None:
+            now = longer
             continue
-        codes.append((known[word], width))
-        known[longer] = nxt
+        codes.append(now)
+        widths.append(width)
+        known[key] = nxt
         nxt += 1
-        word = bytes((b,))
+        now = b
         if nxt == 4095:
-            codes.append((LZW_CLEAR, width))
-            known = {bytes([i]): i for i in range(256)}
+            codes.append(LZW_CLEAR)
+            widths.append(width)
+            known = {}
             nxt, width = 258, 9
-        elif nxt >= 1 << width:
+        elif nxt >> width:
             width += 1
-    if word:
-        codes.append((known[word], width))
+    if now >= 0:
+        codes.append(now)
+        widths.append(width)
         nxt += 1
-        if nxt >= 1 << width and width < 12:
+        if nxt >> width and width < 12:
             width += 1
-    codes.append((LZW_END, width))
-    acc = bits = 0
-    out = bytearray()
-    for code, w in codes:
-        acc = acc << w | code
-        bits += w
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits & 255)
-        acc &= (1 << bits) - 1
-    if bits:
-        out.append(acc << 8 - bits & 255)
-    return bytes(out)
+    codes.append(LZW_END)
+    widths.append(width)
+    w = np.array(widths)
+    bits = (np.array(codes)[:, None] >> (w[:, None] - 1 - np.arange(12)).clip(0)) & 1
+    return np.packbits(bits[np.arange(12) < w[:, None]].astype(np.uint8)).tobytes()
 
 
 def unlzw(data: bytes, size: int) -> bytes:
@@ -284,21 +289,24 @@ def features(page: np.ndarray) -> str:
     return f"{page.shape[1]}x{page.shape[0]}x{page.shape[2]} mean={mean:.4f} spread={spread:.4f} entropy={float(-(p * np.log2(p)).sum()):.4f} step={step:.4f}"
 
 
-def tiff_store(docs: DataFrame, text_col: str = "text", media_col: str = "media", width: int = 64, scheme: str = "deflate", predictor: int = 2, rows: int = 128, keep: list[str] | None = None) -> DataFrame:
+def tiff_store(docs: DataFrame, text_col: str = "text", media_col: str = "media", width: int = 64, layouts: list[tuple] | None = None, rows: int = 128, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``media_col`` BINARY: the text's UTF-8 bytes as one page of 8-bit samples.
 
     Bytes 0 pad the text to a positive multiple of ``width``; null or empty
-    text is one row of zeros. Equal texts give equal bytes. An existing
+    text is one row of zeros. The text's checksum deals it one of ``layouts``
+    (all of LAYOUTS by default), so equal texts give equal bytes. An existing
     column named ``media_col`` is replaced.
     """
+    chosen = layouts or LAYOUTS
 
     def make():
         def work(texts):
             out = []
             for t in texts:
                 raw = (t or "").encode("utf-8")
+                scheme, predictor, tile = chosen[zlib.crc32(raw) % len(chosen)]
                 raw += b"\0" * (-len(raw) % width or (0 if raw else width))
-                out.append(write_tiff([np.frombuffer(raw, np.uint8).reshape(-1, width)], scheme, predictor, rows))
+                out.append(write_tiff([np.frombuffer(raw, np.uint8).reshape(-1, width)], scheme, predictor, rows, tile))
             return (out,)
 
         return work
