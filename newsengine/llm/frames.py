@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -43,10 +44,19 @@ def release() -> None:
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """Use the cluster's ``spark.checkpoint.dir``; a temporary one only on a single machine where it is unset, as in tests."""
     sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="newsengine-checkpoint-"))
+    if sc.getCheckpointDir() is None:
+        told = sc.getConf().get("spark.checkpoint.dir")
+        if not told and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="newsengine-checkpoint-"))
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job has written, wherever Spark keeps it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

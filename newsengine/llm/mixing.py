@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsengine.llm.frames import map_columns
+from newsengine.llm.frames import fresh, map_columns
 
 #: At most so many labelled rows train the classifier.
 LABELLED_ROWS = 20_000
@@ -184,4 +184,5 @@ def realise(docs: DataFrame, id_col: str = "doc_id", rate_col: str = "rate") ->
     """
     chance = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = F.floor(F.coalesce(F.col(rate_col), F.lit(0.0)) + 1e-6 + chance).cast("int")
-    return docs.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies", "__copy")
+    copy = fresh(docs, "__copy")
+    return docs.withColumn(copy, copies).where(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).drop(copy)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsengine.llm.frames import cut, map_columns, prepare_workers, release
+from newsengine.llm.frames import cut, fresh, map_columns, prepare_workers, release
 
 #: Bytes of a repeated window, and of the run that anchors it.
 WINDOW, GRAM = 400, 32
@@ -314,10 +314,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = [c for c in keep if c.lower() not in {"n_bytes", "n_removed", "n_spans", "kept"}]
     text = F.coalesce(F.col(text_col), F.lit(""))
     did = F.xxhash64(F.col(id_col), text)
+    own_did, key, places_col, raw_col, packed_col = fresh(docs, "__did", "__key", "__places", "__text", "__packed")
     found = repeated_windows(docs.select(did.alias("did"), text.alias("text")).where(F.octet_length("text") >= window), window, gram)
-    places = found.groupBy(F.col("did").alias("__key")).agg(F.collect_list("place").alias("__places"))
-    slim = deflated(docs.select(*own, did.alias("__did"), text.alias("__text")), [*own, "__did"], "__text", "__packed")
-    both = slim.join(places, F.col("__did") == F.col("__key"), "left").drop("__did", "__key")
+    places = found.groupBy(F.col("did").alias(key)).agg(F.collect_list("place").alias(places_col))
+    slim = deflated(docs.select(*own, did.alias(own_did), text.alias(raw_col)), [*own, own_did], raw_col, packed_col)
+    both = slim.join(places, F.col(own_did) == F.col(key), "left").drop(own_did, key)
 
     def make():
         def work(texts, places_):
@@ -334,4 +335,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return work
 
     fields = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
-    return map_columns(both, own, ["__packed", "__places"], fields, make)
+    return map_columns(both, own, [packed_col, places_col], fields, make)

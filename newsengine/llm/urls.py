@@ -8,6 +8,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsengine.llm.frames import fresh
+
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -112,17 +114,19 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], mined: DataFrame, url_col
     repeated ones alike; equal URLs are matched once. Clashing columns are
     replaced. ``rules`` is a stated list; ``mined`` is joined, never collected.
     """
-    urls = pages.where(F.col(url_col).isNotNull()).groupBy(F.col(url_col).alias("__url")).agg(F.lit(1).alias("__one")).select("__url", url_tokens(F.col("__url")).alias("tokens"))
-    best = matches(urls, mined).groupBy("__url").agg(F.max_by(F.struct("rule_id", "confidence"), F.struct("confidence", "support", "rule_id")).alias("__mined"))
+    url, stated, mined_col = fresh(pages, "__url", "__rule", "__mined")
+    urls = pages.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias(url)).distinct().select(url, url_tokens(F.col(url)).alias("tokens"))
+    best = matches(urls, mined).groupBy(url).agg(F.max_by(F.struct("rule_id", "confidence"), F.struct("confidence", "support", "rule_id")).alias(mined_col))
     own = [c for c in pages.columns if c.lower() not in {"host", "path", "rule", "verdict", "mined_rule", "confidence"}]
     host, path = url_host(F.col(url_col)), url_path(F.col(url_col))
-    judged = pages.select(*own, host.alias("host"), path.alias("path"), stated_rule(host, path, rules).alias("__rule")).join(best, F.col(url_col) == F.col("__url"), "left")
+    judged = pages.select(*own, host.alias("host"), path.alias("path"), stated_rule(host, path, rules).alias(stated), F.col(url_col).alias(f"{url}_of"))
+    judged = judged.join(best, F.col(f"{url}_of") == F.col(url), "left")
     return judged.select(
         *own,
         "host",
         "path",
-        F.col("__rule.rule").alias("rule"),
-        F.coalesce("__rule.verdict", F.when(F.col("__mined").isNotNull(), "block").otherwise("allow")).alias("verdict"),
-        F.col("__mined.rule_id").alias("mined_rule"),
-        F.col("__mined.confidence").alias("confidence"),
+        F.col(stated)["rule"].alias("rule"),
+        F.coalesce(F.col(stated)["verdict"], F.when(F.col(mined_col).isNotNull(), "block").otherwise("allow")).alias("verdict"),
+        F.col(mined_col)["rule_id"].alias("mined_rule"),
+        F.col(mined_col)["confidence"].alias("confidence"),
     )

@@ -60,3 +60,8 @@ def test_classifier_held_out(spark):
     right = sum(model.domains[max(range(3), key=lambda j: got[i][j])] == k for i, k, _ in rows[300:])
     assert right >= 290 and abs(sum(got[9000]) - 1) < 1e-6
     assert domain_posteriors(docs.limit(0), model).count() == 0
+
+
+def test_realise_keeps_clashing_columns(spark):
+    rows = realise(spark.createDataFrame([(1, 2.0)], "doc_id long, rate double").selectExpr("*", "7 as __copy")).collect()
+    assert [r["__copy"] for r in rows] == [7, 7]

@@ -66,3 +66,11 @@ def test_every_window_is_in_one_cell():
     c = first_cells(raws, 400, 32, 185)
     starts = Counter((r, s + k) for r, s, n in zip(c["row"].tolist(), c["start"].tolist(), c["count"].tolist()) for k in range(n))
     assert starts == Counter((i, s) for i, r in enumerate(raws) for s in range(len(r) - 399))
+
+
+def test_clashing_internal_names(spark):
+    from newsengine.llm.repeats import remove_repeats
+
+    df = spark.createDataFrame([(1, "ab" * 300), (2, "x")], "doc_id long, text string").selectExpr("*", "5 as __did", "6 as __key", "7 as __packed")
+    got = {r.doc_id: (r.n_removed, r["__did"], r["__key"], r["__packed"]) for r in remove_repeats(df).collect()}
+    assert got == {1: (600, 5, 6, 7), 2: (0, 5, 6, 7)}

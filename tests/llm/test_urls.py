@@ -53,3 +53,9 @@ def test_mined_rules_equal_brute_force(spark):
     assert got == want and want
     judged = judge_urls(df.selectExpr("url"), [], mine_rules(df, limits)).where("verdict = 'block'").select("url").distinct().collect()
     assert {r.url for r in judged} == {u for u, _ in rows if u and "casino" in u and "/en/" in u}
+
+
+def test_clashing_internal_names(spark):
+    df = spark.createDataFrame([(1, "http://a.com/en/1")], "page_id long, url string").selectExpr("*", "1 as __url", "2 as __rule", "3 as __mined")
+    r = judge_urls(df, RULES, mine_rules(df.selectExpr("url", "true as blocked"))).first()
+    assert (r["__url"], r["__rule"], r["__mined"], r["verdict"]) == (1, 2, 3, "block")
