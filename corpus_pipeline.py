@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsengine.llm.bpe import bpe_round_trip
-from newsengine.llm.frames import cut, shared_dir
+from newsengine.llm.frames import cut, drop_folder, shared_dir
 from newsengine.llm.mixing import domain_posteriors, fit_domains, fit_rates, rate_column, realise
 from newsengine.llm.neardup import near_duplicates
 from newsengine.llm.quality import fit_forests, judge_quality
@@ -84,11 +84,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again by the next."""
+    """All stages over ``documents``, each written to the shared folder and read again by the next.
+
+    A stage's folder goes once the next one is written; that of the last but
+    one is what the result is computed from, so it stays with the caller.
+    """
     shared_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            drop_folder(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
