@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsengine.llm.frames import fresh, map_columns
+from newsengine.llm.frames import cut, fresh, map_columns
 
 #: At most so many labelled rows train the classifier.
 LABELLED_ROWS = 20_000
-#: Posteriors under this count as 0, so that a sure document stays in its domain.
-POSTERIOR_FLOOR = 0.05
+#: So many words at most are inputs of the classifier, each in at least so many of its documents.
+MARKED_WORDS, COMMON = 64, 5
+#: Lengths of a step that are tried: of the scaled gap, and of the plain gradient over its largest eigenvalue.
+STEP_LENGTHS = ((1, 0.25, 0.06, 0.015), (1, 4, 16, 64, 256))
 # A-Z to lower case, ASCII punctuation to spaces.
 FOLD = bytes(ord(chr(i).lower()) if 65 <= i <= 90 else 32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
 UPPER, SYMBOLS = bytes(range(65, 91)), b"#*$%&|<>"
@@ -32,8 +33,6 @@ class DomainModel:
     def posteriors(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.weights[:-1] + self.weights[-1]
         p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[p < POSTERIOR_FLOOR] = 0
         return p / p.sum(1, keepdims=True)
 
 
@@ -52,28 +51,28 @@ def measured(text: str | None, words: dict[bytes, int]) -> tuple[int, np.ndarray
     return n, x
 
 
-def train_domains(texts: list[str | None], domains: list[str], marked: int = 64, rounds: int = 400) -> DomainModel:
-    """Full-batch gradient steps on the words that best tell the domains apart."""
+def folded_words(text: str | None) -> list[str]:
+    """The distinct words of one whole text that ``measured`` compares."""
+    return [w.decode("utf-8") for w in set((text or "").encode("utf-8").translate(FOLD).split())]
+
+
+def telling_words(found: DataFrame, sizes: dict[str, int], marked: int = MARKED_WORDS) -> list[str]:
+    """The words whose presence in ``__text`` tells ``__domain`` best, by the chi-squared statistic; ties by the word."""
+    words = map_columns(found, ["__domain"], ["__text"], [T.StructField("words", T.ArrayType(T.StringType()))], lambda: lambda texts: ([folded_words(t) for t in texts],))
+    counts = words.select("__domain", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *[F.count_if(F.col("__domain") == d).alias(f"n{k}") for k, d in enumerate(sizes)])
+    mean = F.col("n") / float(sum(sizes.values()))
+    apart = sum((F.pow((F.col(f"n{k}") + 0.5) / (size + 1.0) - mean, 2) * size for k, size in enumerate(sizes.values())), F.lit(0.0))
+    gap = F.round(apart / (mean * (1 - F.least(mean, F.lit(0.999)))), 6)
+    return [r.word for r in counts.where(F.col("n") >= COMMON).orderBy(gap.desc(), "word").limit(marked).collect()]
+
+
+def train_domains(x: np.ndarray, domains: list[str], words: dict[bytes, int], rounds: int = 400) -> DomainModel:
+    """Softmax weights by full-batch gradient steps on rows of ``measured`` inputs."""
     names = sorted(set(domains))
-    y = np.array([names.index(d) for d in domains])
-    seen = [Counter() for _ in names]
-    for t, k in zip(texts, y, strict=True):
-        seen[k].update(set((t or "").encode("utf-8").translate(FOLD).split()))
-    size = np.maximum(np.bincount(y, minlength=len(names)), 1)
-    total = Counter()
-    for c in seen:
-        total.update(c)
-    common = [w for w, n in total.items() if n >= 5]
-    rate = np.array([[(c[w] + 0.5) / (s + 1) for c, s in zip(seen, size, strict=True)] for w in common]).reshape(-1, len(names))
-    mean = np.array([total[w] for w in common]) / max(1, len(texts))
-    # Chi-squared statistic of presence against domain.
-    gap = (size * (rate - mean[:, None]) ** 2).sum(1) / (mean * (1 - np.minimum(mean, 0.999))) if len(common) else np.zeros(0)
-    words = {common[i]: k for k, i in enumerate(np.argsort(-gap, kind="stable")[:marked])}
-    x = np.array([measured(t, words)[1] for t in texts], np.float32).reshape(len(texts), -1)
     model = DomainModel(names, words, np.zeros((len(words) + 5, len(names)), np.float32))
-    if not len(texts):
+    if not len(x):
         return model
-    goal = np.eye(len(names), dtype=np.float32)[y]
+    goal = np.eye(len(names), dtype=np.float32)[[names.index(d) for d in domains]]
     xs = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
     first, second = np.zeros_like(model.weights), np.zeros_like(model.weights)
     for step in range(1, rounds + 1):
@@ -91,14 +90,21 @@ def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """Classifier of ``labels``.domain from at most ``rows`` labelled documents.
 
     ``labels`` has the id and a string ``domain``; ids are taken in the order
-    of their hash, the least domain of an id counts, nulls are left out.
+    of their hash, the least domain of an id counts, nulls are left out. Of
+    several rows with one id the least text counts. Words are counted and
+    texts measured in tasks: the driver gets at most ``rows`` short vectors.
     """
     ids = labels.where(F.col(id_col).isNotNull() & F.col("domain").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("domain").alias("__domain"))
     picked = ids.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     # ``picked`` has at most ``rows`` short rows, so its size is bounded.
-    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
-    table = found.toPandas().sort_values("__id", kind="stable")
-    return train_domains(table["__text"].tolist(), table["__domain"].tolist())
+    mine = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
+    found = cut(mine.groupBy("__id", "__domain").agg(F.min("__text").alias("__text")))
+    sizes = {r["__domain"]: r["n"] for r in found.groupBy("__domain").agg(F.count("*").alias("n")).orderBy("__domain").collect()}
+    words = {w.encode("utf-8"): k for k, w in enumerate(telling_words(found, sizes))} if sizes else {}
+    inputs = T.StructField("inputs", T.ArrayType(T.FloatType()))
+    table = map_columns(found, ["__id", "__domain"], ["__text"], [inputs], lambda: lambda texts: ([measured(t, words)[1].tolist() for t in texts],)).toPandas().sort_values("__id", kind="stable")
+    x = np.array(table["inputs"].tolist(), np.float32).reshape(len(table), len(words) + 4)
+    return train_domains(x, table["__domain"].tolist(), words)
 
 
 def domain_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -132,45 +138,75 @@ def fit_rates(posteriors: DataFrame, domains: list[str], shares: dict[str, float
     """Projected-gradient least squares for nonnegative document rates.
 
     Minimises the squared gap between each domain's expected tokens, the sum
-    of rate * n_tokens * posterior, and its target. Every step is one
-    aggregation over all documents of a few numbers per domain; the gradient
-    is scaled by the domains' token products over documents of positive rate.
-    Rates are a function of the steps alone, so no per-document state is kept
+    of rate * n_tokens * posterior, and its target. Rates are weighed by their
+    document's tokens, in which metric the gradient moves a rate by posterior
+    . gap. Each round tries ``STEP_LENGTHS`` of that and of the gap scaled by
+    the domains' token products over documents of positive rate, and takes
+    the one that leaves the least gap after projection; the plain gradient
+    over the largest eigenvalue is among them and always lessens it. A round
+    is two aggregations over all documents of a few numbers per domain. Rates
+    are a function of the steps alone, so no per-document state is kept
     between steps and a lost executor loses nothing.
 
     ``shares`` gives the target share of each domain. All tokens stay their
-    number, or with ``anchor`` that domain's tokens do. A domain without
-    documents cannot meet its target. Returns the steps (for ``rate_column``),
-    targets and what was reached.
+    number, or with ``anchor`` that domain's tokens do. Returns the steps (for
+    ``rate_column``), targets and what was reached. A target that no rates
+    meet, as that of a domain without documents, or one that is open after
+    ``rounds`` shows in what was reached (``targets_met``).
     """
     d = len(domains)
     share = np.array([shares.get(x, 0.0) for x in domains], float)
     share = share / share.sum() if share.sum() > 0 else np.full(d, 1 / max(d, 1))
+    if not d:
+        return [], {}, {}
+    p = [F.col("posterior")[k] for k in range(d)]
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+
+    def totals(steps: list[list[float]], *columns: Column) -> np.ndarray:
+        rated = posteriors.select("n_tokens", "posterior", rate_column(steps).alias("__r"))
+        row = rated.agg(*[F.sum(F.col("n_tokens") * c).alias(f"c{k}") for k, c in enumerate(columns)]).first()
+        return np.array([v or 0.0 for v in row], float)
+
+    def square(flat: np.ndarray) -> np.ndarray:
+        out = np.zeros((d, d))
+        for (i, j), v in zip(pairs, flat, strict=True):
+            out[i, j] = out[j, i] = v
+        return out
+
+    rate, live = F.col("__r"), (F.col("__r") > 0).cast("int")
+    expected = [rate * c for c in p]
+    products = [p[i] * p[j] for i, j in pairs]
+    first = totals([], *expected, *products)
+    reached, whole = first[:d], square(first[d:])
+    total = reached.sum()
+    if anchor in domains and share[domains.index(anchor)] > 0:
+        total = reached[domains.index(anchor)] / share[domains.index(anchor)]
+    target = share * total
+    largest = np.linalg.eigvalsh(whole).max()
     steps: list[list[float]] = []
-    target = reached = None
-    for _ in range(rounds + 1):
-        rate = rate_column(steps)
-        live = F.when(F.col("__r") > 0, F.col("n_tokens")).otherwise(0)
-        p = [F.col("posterior")[k] for k in range(d)]
-        rated = posteriors.select("n_tokens", "posterior", rate.alias("__r"))
-        sums = rated.agg(*[F.sum(F.col("__r") * F.col("n_tokens") * p[k]).alias(f"t{k}") for k in range(d)], *[F.sum(live * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)]).first()
-        reached = np.array([sums[f"t{k}"] or 0.0 for k in range(d)])
-        if target is None:
-            total = reached.sum()
-            if anchor in domains and share[domains.index(anchor)] > 0:
-                total = reached[domains.index(anchor)] / share[domains.index(anchor)]
-            target = share * total
+    while len(steps) < rounds and largest > 0:
         gap = target - reached
-        if np.abs(gap).max(initial=0) <= close * max(target.sum(), 1) or len(steps) == rounds:
+        if np.abs(gap).max() <= close * max(target.sum(), 1):
             break
-        gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
-        step = np.linalg.lstsq(gram + 1e-9 * np.trace(gram) * np.eye(d), gap, rcond=None)[0]
-        if not np.isfinite(step).all() or not np.abs(step).max():
+        gram = square(totals(steps, *[live * c for c in products]))
+        scaled = np.linalg.lstsq(gram + 1e-9 * np.trace(gram) * np.eye(d), gap, rcond=None)[0]
+        moves = [v * s for v, lengths in zip((scaled, gap / largest), STEP_LENGTHS, strict=True) for s in lengths]
+        moved = [F.greatest(F.lit(0.0), rate + sum((p[k] * float(m[k]) for k in range(d)), F.lit(0.0))) for m in moves]
+        tried = totals(steps, *[r * c for r in moved for c in p]).reshape(-1, d)
+        left = np.nan_to_num(np.square(target - tried).sum(1), nan=np.inf)
+        best = int(np.argmin(left))
+        if left[best] >= np.square(gap).sum():
             break
-        steps.append(step.tolist())
+        steps.append(moves[best].tolist())
+        reached = tried[best]
     return steps, dict(zip(domains, target.tolist(), strict=True)), dict(zip(domains, reached.tolist(), strict=True))
 
 
+def targets_met(target: dict[str, float], reached: dict[str, float], within: float = 1e-4) -> bool:
+    """Whether every domain's expected tokens are within that share of all target tokens."""
+    return all(abs(target[k] - reached[k]) <= within * max(sum(target.values()), 1) for k in target)
+
+
 def mix(posteriors: DataFrame, steps: list[list[float]]) -> DataFrame:
     """``posteriors`` with ``rate`` DOUBLE; a clashing column is replaced."""
     return posteriors.withColumn("rate", rate_column(steps))

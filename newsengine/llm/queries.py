@@ -12,7 +12,7 @@ from newsengine.llm.chat import fit_hmm, format_chats
 from newsengine.llm.frames import cut
 from newsengine.llm.html import extract_main_text, fit_labeller
 from newsengine.llm.licenses import SIMILARITY, STATES, TEMPLATES, default_templates, scan_licenses
-from newsengine.llm.mixing import domain_posteriors, fit_domains, fit_rates, mix
+from newsengine.llm.mixing import domain_posteriors, fit_domains, fit_rates, mix, targets_met
 from newsengine.llm.neardup import near_duplicates
 from newsengine.llm.quality import COUNTS, fit_forests, judge_quality
 from newsengine.llm.repeats import remove_repeats
@@ -112,13 +112,13 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rate of every document so that expected tokens of the label domains meet ``MIX``."""
+    """Rate of every document so that expected tokens of the label domains meet ``MIX``; ``met`` says whether they do."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_domains(docs, label_domains(table(spark, sf_dir, "labels")))
     posteriors = cut(domain_posteriors(docs, model, keep=["doc_id"]))
-    steps, _, _ = fit_rates(posteriors, model.domains, MIX, anchor="clean")
+    steps, target, reached = fit_rates(posteriors, model.domains, MIX, anchor="clean")
     rated = mix(posteriors, steps)
-    return rated.select("doc_id", "n_tokens", *[F.round(F.col("posterior")[k], 6).alias(f"p_{x}") for k, x in enumerate(model.domains)], F.round("rate", 6).alias("rate"))
+    return rated.select("doc_id", "n_tokens", *[F.round(F.col("posterior")[k], 6).alias(f"p_{x}") for k, x in enumerate(model.domains)], F.round("rate", 6).alias("rate"), F.lit(targets_met(target, reached)).alias("met"))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
-from newsengine.llm.mixing import domain_posteriors, fit_domains, fit_rates, mix, realise
+import numpy as np
+from newsengine.llm.mixing import domain_posteriors, fit_domains, fit_rates, mix, realise, targets_met
 from pyspark.sql import functions as F
 
 
@@ -32,6 +33,38 @@ def test_projection_and_anchor(spark):
     assert rates[2] == 0 and rates[1] > 1 and min(rates.values()) >= 0 and reached["b"] < 5
 
 
+def least_squares(tokens, posterior, target, rounds=20000):
+    """Plain projected gradient on the document rates themselves, in small steps."""
+    a = (tokens[:, None] * posterior).T
+    rate = np.ones(len(tokens))
+    step = 1 / np.linalg.eigvalsh(a @ a.T).max()
+    for _ in range(rounds):
+        rate = np.maximum(0, rate + step * (a.T @ (target - a @ rate)))
+    return a @ rate
+
+
+def test_unmet_target_is_reported_and_as_near_as_brute_force(spark):
+    rng = np.random.default_rng(6)
+    # Every document holds at least 0.3 of each domain, so a share of 0.9 is out of reach.
+    p = 0.3 + 0.4 * rng.random(40)
+    posterior, tokens = np.stack([p, 1 - p], 1), rng.integers(1, 200, 40).astype(float)
+    df = frame(spark, [(i, int(n), q.tolist()) for i, (n, q) in enumerate(zip(tokens, posterior, strict=True))])
+    steps, target, reached = fit_rates(df, ["a", "b"], {"a": 0.9, "b": 0.1})
+    assert not targets_met(target, reached)
+    want = np.array([target["a"], target["b"]])
+    missed = lambda got: np.square(want - got).sum()
+    best, got = missed(least_squares(tokens, posterior, want)), missed(np.array([reached["a"], reached["b"]]))
+    assert got <= best * 1.05 and got < missed(tokens @ posterior)
+    rates = [r.rate for r in mix(df, steps).collect()]
+    assert min(rates) >= 0
+
+
+def test_domain_without_documents_is_unmet(spark):
+    df = frame(spark, [(1, 10, [1.0, 0.0]), (2, 10, [1.0, 0.0])])
+    _, target, reached = fit_rates(df, ["a", "b"], {"a": 0.5, "b": 0.5})
+    assert abs(reached["a"] - target["a"]) < 1e-3 and reached["b"] == 0 and not targets_met(target, reached)
+
+
 def test_edges(spark):
     none = frame(spark, [])
     assert mix(none, fit_rates(none, ["a"], {"a": 1.0})[0]).count() == 0
@@ -60,6 +93,10 @@ def test_classifier_held_out(spark):
     right = sum(model.domains[max(range(3), key=lambda j: got[i][j])] == k for i, k, _ in rows[300:])
     assert right >= 290 and abs(sum(got[9000]) - 1) < 1e-6
     assert domain_posteriors(docs.limit(0), model).count() == 0
+    assert {"idiot", "moron", "scum"} <= {w.decode() for w in model.words}
+    twice = fit_domains(docs.unionByName(docs), labels)
+    assert twice.words == model.words and np.allclose(twice.weights, model.weights)
+    assert fit_domains(docs, labels.limit(0)).domains == []
 
 
 def test_realise_keeps_clashing_columns(spark):
