@@ -11,7 +11,7 @@ from newsengine.llm.bpe import bpe_round_trip
 from newsengine.llm.chat import fit_hmm, format_chats
 from newsengine.llm.frames import cut
 from newsengine.llm.html import extract_main_text, fit_labeller
-from newsengine.llm.licenses import SIMILARITY, STATES, TEMPLATES, default_templates, scan_licenses
+from newsengine.llm.licenses import SIMILARITY, TEMPLATES, default_templates, scan_licenses
 from newsengine.llm.mixing import domain_posteriors, fit_domains, fit_rates, mix, targets_met
 from newsengine.llm.neardup import near_duplicates
 from newsengine.llm.quality import COUNTS, fit_forests, judge_quality
@@ -70,7 +70,7 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def licence_sql() -> str:
-    """The same scan for an SQL engine: templates as values, cosines by joins on tokens."""
+    """The same scan for an SQL engine: templates as values, cosines of all sentences by joins on tokens."""
     quoted = lambda t: t.replace("'", "''")
     values = ", ".join(f"({i}, '{quoted(n)}', '{quoted(t)}')" for i, (n, t) in enumerate(TEMPLATES))
     pattern = "'[a-z0-9]+(?:[.-][a-z0-9]+)*'"
@@ -82,7 +82,7 @@ tw AS (SELECT template_id, license, token, tf * idf AS w FROM ttf JOIN tdf USING
 tn AS (SELECT template_id, license, token, w / sqrt(sum(w * w) OVER (PARTITION BY template_id)) AS part FROM tw),
 d AS (SELECT doc_id, text, len(list_filter(string_split_regex(text, '[\s]+'), lambda x: x <> '')) <= 16 AND regexp_matches(lower(text), 'licen[cs]e') AS named, coalesce(source, '_') || '/' || coalesce(lang, '_') AS top FROM documents),
 p AS (SELECT doc_id, text, named, CASE WHEN named THEN top ELSE top || '/' || (doc_id // 10000) || '/' || (doc_id // 100) END AS dir FROM d),
-se AS (SELECT doc_id, unnest(list_distinct(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), '[\r\n]+'), lambda x: trim(x)), lambda x: regexp_matches(lower(x), '{STATES}')))) AS sentence FROM p),
+se AS (SELECT doc_id, unnest(list_distinct(list_transform(string_split_regex(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), '[\r\n]+'), lambda x: trim(x)))) AS sentence FROM p),
 st AS (SELECT sentence, token, count(*) AS tf FROM (SELECT sentence, unnest(regexp_extract_all(lower(sentence), {pattern})) AS token FROM (SELECT DISTINCT sentence FROM se)) GROUP BY ALL),
 sw AS (SELECT sentence, token, tf * coalesce(idf, ln(1.0 + {len(TEMPLATES)}) + 1) AS w FROM st LEFT JOIN tdf USING (token)),
 sn AS (SELECT sentence, sqrt(sum(w * w)) AS norm FROM sw GROUP BY 1),
