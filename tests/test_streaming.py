@@ -3,8 +3,9 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from newsengine.operators import ingest
 from newsengine.operators.bias import FEATURES
-from newsengine.streaming import stages
+from newsengine.streaming import news, stages
 
 T0 = datetime(2024, 1, 1)
 
@@ -73,3 +74,43 @@ def test_sink_reads_only_the_parts_of_a_batch(spark, tmp_path):
     put(frame(range(40, 60)), 1)
     put(frame([]), 2)
     assert sorted(r.k for r in spark.read.parquet(path).collect()) == list(range(60))
+
+
+NEWS = {
+    "uno": ("Gobierno anuncia reforma de salud en Bogotá", "El gobierno de Gustavo Petro anunció la reforma de la salud en Bogotá. El ministro dijo que la reforma llega al congreso con 30 artículos para los hospitales."),
+    "dos": ("Gobierno anuncia reforma de salud en Bogotá hoy", "El gobierno de Gustavo Petro anunció la reforma de la salud en Bogotá. El ministro dijo que la reforma llega al congreso con 30 artículos para los hospitales del país."),
+    "tres": ("Lluvias dejan inundaciones en Chocó", "Las fuertes lluvias de la noche dejaron varias familias sin casa en el Chocó, según la oficina de riesgo de la región y los bomberos."),
+    "corto": ("Sin texto", "Muy corto."),
+}
+
+
+def news_pages(spark, names):
+    url = lambda n: f"https://flip.org.co/pronunciamientos/{n}"
+    article = lambda n: f'<meta property="og:title" content="{NEWS[n][0]}"><meta property="og:description" content="{NEWS[n][1]}"><meta property="article:published_time" content="2024-01-02T03:04:05Z">'
+    links = "".join(f'<a href="{url(n)}">x</a>' for n in names) + '<a href="https://flip.org.co/otros/y">y</a>'
+    return ("flip", "list", links), [("flip", url(n), article(n)) for n in NEWS]
+
+
+def test_ten_stages_run_as_one_and_again(spark, tmp_path):
+    schema, path, out = "media_key string, url string, html string", str(tmp_path / "in"), str(tmp_path / "out")
+    pages = spark.createDataFrame(news_pages(spark, NEWS)[1], schema)
+    media = spark.createDataFrame([("m1", "flip", True)], "media_id string, media_key string, allowlisted boolean")
+    steps = news.news_steps(out, media, pages, ingest.site_rules(spark), F.lit("2024-01-03").cast("timestamp"))
+
+    def feed(names):
+        spark.createDataFrame([news_pages(spark, names)[0], ("nadie", "l", None)], schema).coalesce(1).write.mode("append").parquet(path)
+        stages.chain(spark.readStream.schema(schema).parquet(path), steps, out)
+        sinks = {name: spark.read.parquet(f"{out}/{name}") for name, _, _ in steps}
+        return {name: sorted(map(repr, df.select(*sorted(df.columns)).collect())) for name, df in sinks.items()}
+
+    first = feed(["uno", "tres", "corto"])
+    assert {k: len(v) for k, v in first.items()} == {"discovered": 3, "normalized": 3, "gated": 3, "embedded": 2, "linked": 2, "versioned": 2, "claimed": 2, "overviewed": 2, "themed": 2, "subevents": 2}
+    assert feed(["uno", "tres", "corto"]) == first
+    second = feed(["uno", "dos"])
+    assert {k: len(v) for k, v in second.items()} == {"discovered": 4, "normalized": 4, "gated": 4, "embedded": 3, "linked": 3, "versioned": 3, "claimed": 3, "overviewed": 3, "themed": 3, "subevents": 3}
+    assert [k for k in first if not set(first[k]) <= set(second[k])] == []
+    grown = spark.read.parquet(f"{out}/themed").where("version_index = 1").first()
+    assert sorted(a.title for a in grown.packet.articles) == [NEWS["uno"][0], NEWS["dos"][0]]
+    assert grown.claims and len(grown.bias) == 2 and {t.topic_key for t in grown.topics} and grown.overview.claims_count == len(grown.claims)
+    links = {r.title: r.event_id for r in spark.read.parquet(f"{out}/linked").collect()}
+    assert links[NEWS["uno"][0]] == links[NEWS["dos"][0]] != links[NEWS["tres"][0]]
