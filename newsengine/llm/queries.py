@@ -18,6 +18,7 @@ from newsengine.llm.quality import COUNTS, fit_forests, judge_quality
 from newsengine.llm.repeats import remove_repeats
 from newsengine.llm.tiff import tiff_pages, tiff_store
 from newsengine.llm.urls import UrlRule, judge_urls, mine_rules
+from newsengine.llm.whitening import fit_whitener, whiten
 
 #: Vocabulary file of the encoding query.
 BPE_FILE = "byte_bpe_50k.json"
@@ -184,8 +185,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened leading components of every vector of ``embeddings``."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whiten(vectors, fit_whitener(vectors), keep=["vec_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_quality_rules, op4_mixing, op5_html, op6_minhash, op7_chat_formatting, op8_tiff, op9_repeats, op10_bpe)}
+    return {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_quality_rules, op4_mixing, op5_html, op6_minhash, op7_chat_formatting, op8_tiff, op9_repeats, op10_bpe, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
