@@ -14,6 +14,7 @@ from newsengine.llm.html import extract_main_text, fit_labeller
 from newsengine.llm.licenses import SIMILARITY, TEMPLATES, default_templates, scan_licenses
 from newsengine.llm.mixing import domain_posteriors, fit_domains, fit_rates, mix, targets_met
 from newsengine.llm.neardup import near_duplicates
+from newsengine.llm.ngrams import fit_ngrams, held_out, score_texts
 from newsengine.llm.quality import COUNTS, fit_forests, judge_quality
 from newsengine.llm.repeats import remove_repeats
 from newsengine.llm.tiff import tiff_pages, tiff_store
@@ -212,6 +213,12 @@ SELECT w.conv_id, w.depth, a.conv_id AS parent_conv_id, w.n_convs, w.n_children,
 FROM w JOIN z USING (node) LEFT JOIN d USING (node) LEFT JOIN u USING (node) LEFT JOIN n AS a ON a.node = u.parent"""
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every whole text of ``documents`` by the n-grams of those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
+    return score_texts(docs, fit_ngrams(docs.where("not held_out")), keep=["doc_id", "held_out"])
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened leading components of every vector of ``embeddings``."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -219,7 +226,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_quality_rules, op4_mixing, op5_html, op6_minhash, op7_chat_formatting, op8_tiff, op9_repeats, op10_bpe, op11_prefix_trie, op13_whitening)}
+    return {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_quality_rules, op4_mixing, op5_html, op6_minhash, op7_chat_formatting, op8_tiff, op9_repeats, op10_bpe, op11_prefix_trie, op12_lm_scoring, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
