@@ -10,7 +10,7 @@ numbers, go back to the tasks that project the rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +25,7 @@ GRID, COMPONENTS = 256, 4
 #: Eigenvalues closer than this part of the matrix's norm are one cluster.
 CLUSTER = 1e-3
 EPS = float(np.finfo(float).eps)
+LOW = (1 << 22) - 1
 
 
 def tridiagonal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,25 +179,39 @@ def centred(x: np.ndarray, n: int, total: tuple[int, ...]) -> np.ndarray:
     return offsets(x, n, total).astype(float) / n
 
 
-def summed(fit: DataFrame, dims: int, size: int, rows_of) -> dict[int, np.ndarray]:
-    """Sum of arrays of ``size`` numbers by key: ``rows_of(x)`` gives those of one Arrow batch, each task its own sums."""
+def summed(fit: DataFrame, dims: int, rows_of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over all vectors of the matrices that ``rows_of`` gives for those of one Arrow batch.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+    Each task sends the rows of its own sum; those of one row number meet and
+    are added one after the other, so the driver gets one matrix.
+    """
+    like = rows_of(np.zeros((1, dims), np.int64))
+    kind, item = (pa.int64(), "bigint") if like.dtype.kind == "i" else (pa.float64(), "double")
+
+    def batch(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        flat = np.concatenate([*held.values(), like[:0].ravel()])
+        v = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * like.shape[1], pa.int32()), pa.array(flat, kind))
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), v], names=["k", "v"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros_like(like)
         for b in batches:
             if b.num_rows:
-                made = rows_of(matrix(b.column(0), dims))
-                held = made if held is None else held + made
-        if held is not None:
-            kind = pa.int64() if held.dtype.kind == "i" else pa.float64()
-            keys = np.repeat(np.arange(len(held)), size)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(np.tile(np.arange(size), len(held)), pa.int32()), pa.array(held.ravel(), kind)], names=["k", "at", "v"])
-
-    whole = "bigint" if rows_of(np.zeros((1, dims), np.int64)).dtype.kind == "i" else "double"
-    total = F.sum(F.col("v").cast("decimal(38,0)") if whole == "bigint" else F.col("v"))
-    out: dict[int, np.ndarray] = {}
-    for row in fit.mapInArrow(run, f"k int, at int, v {whole}").groupBy("k", "at").agg(total.alias("v")).collect():
-        out.setdefault(row["k"], np.zeros(size, object if whole == "bigint" else float))[row["at"]] = int(row["v"]) if whole == "bigint" else row["v"]
+                held = held + rows_of(matrix(b.column(0), dims))
+        if held.any():
+            yield batch(dict(enumerate(held)))
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), matrix(b.column(1), like.shape[1]), strict=True):
+                held[k] = held[k] + v if k in held else v
+        yield batch(held)
+
+    schema = f"k int, v array<{item}>"
+    out = np.zeros_like(like)
+    for row in fit.mapInArrow(own, schema).repartition("k").mapInArrow(together, schema).collect():
+        out[row["k"]] = row["v"]
     return out
 
 
@@ -215,11 +230,10 @@ def fit_whitener(vectors: DataFrame, vec: str = "embedding", k: int = COMPONENTS
         return None
     dims, n = lengths[0]["dims"], lengths[0]["n"]
     fit = every.where(F.size("x") == dims)
-    # Upper and lower halves of the entries: their sums stay within 64 bits.
-    halves = summed(fit, dims, dims, lambda x: np.array([(x >> 32).sum(axis=0), (x & 0xFFFFFFFF).sum(axis=0)]))
-    total = tuple((int(high) << 32) + int(low) for high, low in zip(halves[0], halves[1], strict=True))
-    rows = summed(fit, dims, dims, lambda x: (c := centred(x, n, total)).T @ c)
-    cov = np.array([rows[i] for i in range(dims)]) / n
+    # The bits of the entries in three parts: their sums stay within 64 bits for 2^41 vectors.
+    parts = summed(fit, dims, lambda x: np.array([(x >> 44).sum(axis=0), (x >> 22 & LOW).sum(axis=0), (x & LOW).sum(axis=0)]))
+    total = tuple((int(a) << 44) + (int(b) << 22) + int(c) for a, b, c in parts.T)
+    cov = summed(fit, dims, lambda x: (c := centred(x, n, total)).T @ c) / n
     cov = (cov + cov.T) / 2
     values, components = leading_components(cov, k)
     trace = float(np.trace(cov))
@@ -229,9 +243,9 @@ def fit_whitener(vectors: DataFrame, vec: str = "embedding", k: int = COMPONENTS
     error = None
     if len(good):
         w = scaled[:, good]
-        mean = summed(fit, dims, len(good), lambda x: (centred(x, n, total) @ w).sum(axis=0, keepdims=True))[0] / n
-        found = summed(fit, dims, len(good), lambda x: (y := centred(x, n, total) @ w - mean).T @ y)
-        error = float(np.abs(np.array([found[i] for i in range(len(good))]) / n - np.eye(len(good))).max())
+        mean = summed(fit, dims, lambda x: (centred(x, n, total) @ w).sum(axis=0, keepdims=True))[0] / n
+        found = summed(fit, dims, lambda x: (y := centred(x, n, total) @ w - mean).T @ y)
+        error = float(np.abs(found / n - np.eye(len(good))).max())
     return Whitener(n, total, scaled, tuple(float(v) / trace if trace > 0 else None for v in values), error)
 
 
