@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from newsengine.functions import lexicons as L
 from newsengine.functions import text as X
+from newsengine.operators.folding import fold_batch
+from newsengine.operators.pairing import COMPOSITE, best_pairs, near_pairs, scored_pairs
 from newsengine.operators.vectors import centroid, cosine_similarity, text_for_embedding
 from newsengine.sources.shared import checkpointed
 
@@ -81,9 +83,13 @@ def link_candidates(articles: DataFrame, features: DataFrame, now: Column, days:
     left = rows.select("article_id", F.explode(tags(F.col("embedding_vec"), F.col("article_entities"))).alias("tag"))
     right = recent.select("event_id", F.explode(tags(F.col("centroid"), F.col("entities"))).alias("tag"))
     pairs = left.join(right, "tag").select("article_id", "event_id").distinct()
-    event_cols = [c for c in ("state", "t0", "t_last", "centroid", "entities", "article_count", "unique_media", "fact_earliest", "fact_latest") if c in recent.columns]
-    named = recent.select("event_id", *event_cols, *[F.col(c).alias(f"event_{c}") for c in CONTEXT if c in recent.columns])
-    return pairs.join(rows, "article_id").join(named, "event_id")
+    return pairs.join(rows, "article_id").join(event_side(recent), "event_id")
+
+
+def event_side(features: DataFrame) -> DataFrame:
+    """The columns of events that a pair has; those that articles have too get the prefix event_."""
+    cols = [c for c in ("state", "t0", "t_last", "centroid", "entities", "article_count", "unique_media", "fact_earliest", "fact_latest") if c in features.columns]
+    return features.select("event_id", *cols, *[F.col(c).alias(f"event_{c}") for c in CONTEXT if c in features.columns])
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
@@ -100,8 +106,16 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return scored.withColumn("score", L.W_EMBEDDING * F.col("embedding_sim") + L.W_ENTITY * F.col("entity_overlap") + L.W_TEMPORAL * F.col("temporal"))
 
 
-def score_candidates(articles: DataFrame, features: DataFrame, now: Column, days: int = L.CANDIDATE_DAYS) -> DataFrame:
-    return score_pairs(link_candidates(articles, features, now, days))
+def score_candidates(articles: DataFrame, features: DataFrame, now: Column, days: int = L.CANDIDATE_DAYS, least: float | None = None) -> DataFrame:
+    """Scores of all candidate pairs, or of those that reach ``least``: such pairs alone become rows then."""
+    if least is None:
+        return score_pairs(link_candidates(articles, features, now, days))
+    recent = features.where(F.unix_millis("t_last") >= F.unix_millis(now) - days * DAY)
+    rows = articles.withColumn("article_entities", X.extract_entities(text_for_embedding(F.col("title"), F.col("snippet"))))
+    left = rows.select(F.col("article_id").alias("left_id"), F.col("embedding_vec").alias("vec"), F.col("article_entities").alias("entities"), F.unix_millis("published_at").alias("at"))
+    right = recent.select(F.col("event_id").alias("right_id"), F.col("centroid").alias("vec"), "entities", F.unix_millis("t0").alias("t0"), F.unix_millis("t_last").alias("t_last"))
+    pairs = scored_pairs(left, right, least, COMPOSITE).select(F.col("left_id").alias("article_id"), F.col("right_id").alias("event_id"))
+    return score_pairs(pairs.join(rows, "article_id").join(event_side(recent), "event_id")).where(F.col("score") >= least)
 
 
 def best_first() -> list[Column]:
@@ -141,13 +155,16 @@ def top_scores_audit(scored: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def link_v1(articles: DataFrame, features: DataFrame, least: float = L.THETA_V1) -> DataFrame:
-    """The event of the nearest centroid, linked from a cosine of 0.45 on; times play no part."""
-    now = F.lit("2000-01-01").cast("timestamp")
-    pairs = link_candidates(articles, features.withColumn("t_last", now), now).withColumn("score", cosine_similarity(F.col("embedding_vec"), F.col("centroid")))
-    best = pairs.groupBy("article_id").agg(F.min_by(F.struct("event_id", "score"), F.struct(-F.round("score", 9), F.col("event_id"))).alias("top"))
-    joined = articles.select("article_id").join(best, "article_id", "left")
-    linked = F.coalesce(F.col("top.score") >= least, F.lit(False))
-    return joined.select("article_id", F.when(linked, "LINK").otherwise("CREATE").alias("action"), F.when(linked, F.col("top.event_id")).alias("event_id"), F.col("top.score").alias("score"))
+    """The event of the nearest centroid, linked from a cosine of 0.45 on; times play no part.
+
+    The best event of each article is found block by block, so that an article
+    makes one row for each block of events and none for each event.
+    """
+    left = articles.select(F.col("article_id").alias("left_id"), F.col("embedding_vec").alias("vec"))
+    best = best_pairs(left, features.select(F.col("event_id").alias("right_id"), F.col("centroid").alias("vec")))
+    joined = articles.select("article_id").join(best.withColumnRenamed("left_id", "article_id"), "article_id", "left")
+    linked = F.coalesce(F.col("score") >= least, F.lit(False))
+    return joined.select("article_id", F.when(linked, "LINK").otherwise("CREATE").alias("action"), F.when(linked, F.col("right_id")).alias("event_id"), "score")
 
 
 def merge_check(new: DataFrame, candidates: DataFrame, capped: bool = True, least: float = L.THETA_MERGE) -> DataFrame:
@@ -155,70 +172,88 @@ def merge_check(new: DataFrame, candidates: DataFrame, capped: bool = True, leas
 
     Both sides have event_id, centroid, article_count and t0. Candidates are
     taken by (t0, event_id); the larger event stays, at a tie the candidate
-    if it is not younger. Pairs meet on shared non-zero slots, since others
-    have cosine 0.
+    if it is not younger. Only pairs that reach ``least`` become rows; a
+    candidate that is at the size limit meets nobody.
     """
-    slots = lambda df: df.select("event_id", F.explode(F.filter(F.transform("centroid", lambda v, k: F.when(v != 0, k)), lambda k: k.isNotNull())).alias("slot"))
-    pairs = slots(new).join(slots(candidates).withColumnRenamed("event_id", "candidate_id"), "slot").where("event_id <> candidate_id").select("event_id", "candidate_id").distinct()
-    side = lambda df, p: df.select(F.col("event_id").alias("event_id" if p == "n" else "candidate_id"), F.col("centroid").alias(f"{p}_vec"), F.col("article_count").alias(f"{p}_count"), F.col("t0").alias(f"{p}_t0"))
-    both = pairs.join(side(new, "n"), "event_id").join(side(candidates, "c"), "candidate_id").withColumn("score", cosine_similarity(F.col("n_vec"), F.col("c_vec"))).where(F.col("score") >= least)
     if capped:
-        both = both.where((F.col("n_count") + F.col("c_count") <= L.MAX_ARTICLES) & (F.col("c_count") <= L.MAX_ARTICLES))
+        candidates = candidates.where(F.col("article_count") <= L.MAX_ARTICLES)
+    vec = lambda df, name: df.select(F.col("event_id").alias(name), F.col("centroid").alias("vec"))
+    pairs = near_pairs(vec(new, "left_id"), vec(candidates, "right_id"), least).select(F.col("left_id").alias("event_id"), F.col("right_id").alias("candidate_id"), "score").where("event_id <> candidate_id")
+    side = lambda df, p: df.select(F.col("event_id").alias("event_id" if p == "n" else "candidate_id"), F.col("article_count").alias(f"{p}_count"), F.col("t0").alias(f"{p}_t0"))
+    both = pairs.join(side(new, "n"), "event_id").join(side(candidates, "c"), "candidate_id")
+    if capped:
+        both = both.where(F.col("n_count") + F.col("c_count") <= L.MAX_ARTICLES)
     first = both.withColumn("__rn", F.row_number().over(Window.partitionBy("event_id").orderBy(F.col("c_t0").asc_nulls_last(), "candidate_id"))).where("__rn = 1")
     older = F.col("n_t0").isNull() | (F.col("c_t0") <= F.col("n_t0"))
     stays = F.when(F.col("c_count") > F.col("n_count"), F.col("candidate_id")).when(F.col("n_count") > F.col("c_count"), F.col("event_id")).when(older, F.col("candidate_id")).otherwise(F.col("event_id"))
     return first.select("event_id", "candidate_id", stays.alias("canonical_id"), F.when(stays == F.col("event_id"), F.col("candidate_id")).otherwise(F.col("event_id")).alias("merged_id"), "score")
 
 
-def resolve_canonical(events: DataFrame, most_rounds: int = 60) -> DataFrame:
+def resolve_canonical(events: DataFrame) -> DataFrame:
     """(event_id, canonical_id) at the end of the chain of canonical_event_id, however long.
 
-    Every round doubles how far each pointer reaches, until none moves. A
-    pointer to an event that is not in the table ends there; a ring of three
-    or more events has no end and is an error.
+    Every round doubles how far each pointer reaches and keeps the least id
+    that it has passed, so the rounds are the logarithm of the longest chain.
+    A pointer to an event that is not in the table ends there. Events that
+    point to each other in a ring, of any length, and those that lead into one
+    resolve to the least id of the ring: a pointer of 2^k steps that is still
+    on its way when 2^k is over the number of events is on a ring, and has by
+    then passed all of it.
     """
-    out = checkpointed(events.select("event_id", F.coalesce("canonical_event_id", "event_id").alias("canonical_id")))
-    for _ in range(most_rounds):
-        ahead = out.select(F.col("event_id").alias("canonical_id"), F.col("canonical_id").alias("__next"))
-        moved = checkpointed(out.join(ahead, "canonical_id", "left").select("event_id", F.coalesce("__next", "canonical_id").alias("canonical_id"), (F.col("__next") != F.col("canonical_id")).alias("__moved")))
-        out = moved.select("event_id", "canonical_id")
-        if not moved.where("__moved").limit(1).count():
-            return out
-    raise ValueError("events point to each other in a ring")
-
-
-def seeds_of(open_: DataFrame, now: Column) -> DataFrame:
-    """The rows of ``open_`` that no earlier open article could take in: each is to open an event of its own."""
-    alone = open_.select(F.col("article_id").alias("event_id"), F.lit("DETECTED").alias("state"), now.alias("t0"), now.alias("t_last"), F.col("embedding_vec").alias("centroid"), F.array_sort(X.extract_entities(text_for_embedding(F.col("title"), F.col("snippet")))).alias("entities"), F.lit(1).alias("article_count"), F.lit(1).alias("unique_media"))
-    near = score_candidates(open_, alone, now).where((F.col("event_id") < F.col("article_id")) & (F.col("score") >= L.THETA_LINK) & (F.size("block_reasons") == 0))
-    return open_.join(near.select("article_id").distinct(), "article_id", "left_anti")
-
-
-def link_incremental(batch: DataFrame, events: DataFrame, links: DataFrame, articles: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(links, new events) of one batch of articles with vectors.
-
-    Rounds go on until no article is left. Each features the open events once
-    and links what they take; of the rest, the articles that no earlier one of
-    the rest could take in open an event each, and the others try again. So
-    alike articles of a batch find each other as they would one at a time, in
-    as many rounds as such a chain is long; centroids move between rounds, not
-    between articles. ``article_id`` orders the batch.
+    given = events.select("event_id", F.coalesce("canonical_event_id", "event_id").alias("to"))
+    out = checkpointed(given.select("event_id", F.col("to").alias("canonical_id"), F.col("to").alias("__least"), (F.col("to") == F.col("event_id")).alias("__end")))
+    most, reached = out.count(), 1
+    while out.where("not __end").limit(1).count():
+        ahead = out.select(F.col("event_id").alias("canonical_id"), F.col("canonical_id").alias("__next"), F.col("__least").alias("__low"), F.col("__end").alias("__done"))
+        stepped = out.join(ahead, "canonical_id", "left")
+        out = checkpointed(stepped.select("event_id", F.coalesce("__next", "canonical_id").alias("canonical_id"), F.least("__least", F.coalesce("__low", "__least")).alias("__least"), F.coalesce("__done", F.lit(True)).alias("__end")))
+        reached *= 2
+        if reached > most:
+            break
+    # What has not ended walks a ring, on which it is by now: from there every pointer has passed the whole ring.
+    ring = out.where("not __end")
+    on = ring.select("canonical_id").distinct().join(ring.select(F.col("event_id").alias("canonical_id"), F.col("__least").alias("__ring")), "canonical_id")
+    joined = out.join(on, "canonical_id", "left")
+    return joined.select("event_id", F.when(F.col("__end"), F.col("canonical_id")).otherwise(F.col("__ring")).alias("canonical_id"))
+
+
+def open_states(events: DataFrame, links: DataFrame, articles: DataFrame, since: Column) -> DataFrame:
+    """The open events that moved since ``since``, as the fold takes them; those over the size limit or without a vector are left out."""
+    live = events.where((F.col("state") != "CLOSED") & (F.unix_millis("t_last") >= F.unix_millis(since)))
+    rows = links.select("event_id", "article_id").join(live.select("event_id"), "event_id")
+    sizes = rows.groupBy("event_id").agg(F.count("*").alias("n_articles")).where(f"n_articles <= {L.MAX_ARTICLES}")
+    # From here on an event has at most as many rows as the limit says.
+    mine = rows.join(sizes.select("event_id"), "event_id").join(articles.select("article_id", "media_id", "title", "snippet", "embedding_vec"), "article_id")
+    names = F.array_distinct(F.flatten(F.collect_list(X.extract_entities(text_for_embedding(F.col("title"), F.col("snippet"))))))
+    said = mine.groupBy("event_id").agg(names.alias("entities"), F.collect_set(F.col("media_id").cast("string")).alias("media"))
+    ms = lambda c: F.unix_millis(c) if c in events.columns else F.lit(None).cast("long")
+    plain = lambda c, kind: (F.col(c) if c in events.columns else F.lit(None)).cast(kind)
+    facts = live.select("event_id", ms("t0").alias("t0"), ms("t_last").alias("t_last"), plain("action", "string").alias("action"), plain("city", "string").alias("city"), plain("city_conf", "double").alias("city_conf"), ms("fact_earliest").alias("fact_earliest"), ms("fact_latest").alias("fact_latest"))
+    out = facts.join(centroid(mine).select("event_id", F.col("centroid").alias("vec"), F.col("n").alias("n_vec")), "event_id").join(sizes, "event_id").join(said, "event_id")
+    return out.withColumn("event_id", F.col("event_id").cast("string"))
+
+
+def link_incremental(batch: DataFrame, events: DataFrame, links: DataFrame, articles: DataFrame, now: Column, order: str = "article_id", days: int = L.CANDIDATE_DAYS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, new events, merges) of one batch, as if its articles came one at a time in ``order``.
+
+    links has event_id, article_id, score (null for an article that opens its
+    event); new events event_id, state, t0, t_last, canonical_event_id; merges
+    event_id, candidate_id, canonical_id, merged_id, score. Each new event is
+    held against the open events at once. Articles without a vector are left
+    out, and of rows with one id one stays. See ``folding``.
     """
-    left = checkpointed(batch)
-    made_links = made_events = None
-    while made_links is None or left.limit(1).count():
-        features = event_features(events, links, articles)
-        decided = checkpointed(decide_link(left, score_candidates(left, features, now)))
-        linked = decided.where("action = 'LINK'").select("event_id", "article_id")
-        open_ = checkpointed(left.join(decided.where("action = 'CREATE'").select("article_id"), "article_id", "left_semi"))
-        seeds = seeds_of(open_, now)
-        fresh = checkpointed(seeds.select(F.concat(F.lit("ev_"), F.substring(F.sha2(F.col("article_id").cast("string"), 256), 1, 16)).alias("event_id"), "article_id"))
-        new = fresh.select("event_id", F.lit("DETECTED").alias("state"), now.alias("t0"), now.alias("t_last"))
-        step = linked.unionByName(fresh)
-        events = checkpointed(events.unionByName(new, allowMissingColumns=True))
-        links = checkpointed(links.unionByName(step, allowMissingColumns=True))
-        articles = checkpointed(articles.unionByName(left.join(step.select("article_id"), "article_id", "left_semi"), allowMissingColumns=True))
-        left = checkpointed(open_.join(fresh.select("article_id"), "article_id", "left_anti"))
-        made_links = step if made_links is None else made_links.unionByName(step)
-        made_events = new if made_events is None else made_events.unionByName(new)
-    return made_links, made_events
+    one = batch.where(F.size("embedding_vec") > 0).dropDuplicates(["article_id"])
+    has = lambda c, kind: (F.col(c) if c in batch.columns else F.lit(None)).cast(kind)
+    ms = lambda c: F.unix_millis(c) if c in batch.columns else F.lit(None).cast("long")
+    given = one.select(F.col(order).alias("seq"), F.col("article_id").cast("string").alias("article_id"), F.col("embedding_vec").cast("array<double>").alias("vec"), X.extract_entities(text_for_embedding(F.col("title"), F.col("snippet"))).alias("entities"), F.col("media_id").cast("string").alias("media_id"), ms("published_at").alias("at"), has("action", "string").alias("action"), has("city", "string").alias("city"), has("city_conf", "double").alias("city_conf"), ms("fact_date").alias("fact_date"))
+    instant = batch.sparkSession.range(1).select(F.unix_millis(now)).first()[0]
+    since = F.timestamp_millis(F.lit(instant - days * DAY))
+    made = fold_batch(given, open_states(events, links, articles, since), instant)
+    kinds = batch.schema["article_id"].dataType
+    at = F.timestamp_millis(F.lit(instant))
+    made_links = made.select("event_id", F.col("article_id").cast(kinds).alias("article_id"), "score")
+    new = made.where("not linked")
+    canonical = F.when(F.col("merged_into").isNotNull() & F.col("stays"), F.col("merged_into"))
+    merges = new.where("merged_into is not null").select("event_id", F.col("merged_into").alias("candidate_id"), F.coalesce(canonical, "event_id").alias("canonical_id"), F.when(F.col("stays"), F.col("event_id")).otherwise(F.col("merged_into")).alias("merged_id"), F.col("merge_score").alias("score"))
+    new_events = new.select("event_id", F.lit("DETECTED").alias("state"), at.alias("t0"), at.alias("t_last"), canonical.alias("canonical_event_id"))
+    return made_links, new_events, merges

@@ -70,8 +70,10 @@ def news_steps(folder: str, media: DataFrame, pages: DataFrame, rules: DataFrame
         old = batch.where("1 = 0").select("*", F.lit("").alias("event_id"), now.alias("linked_at")) if known is None else known
         events = old.groupBy("event_id").agg(F.lit("DETECTED").alias("state"), F.min("linked_at").alias("t0"), F.max("linked_at").alias("t_last"))
         fresh = batch.join(old.select("article_id"), "article_id", "left_anti")
-        links, _ = linking.link_incremental(fresh, events, old.select("event_id", "article_id"), old.select(*batch.columns), now)
-        return fresh.join(links, "article_id").withColumn("linked_at", now)
+        links, _, merges = linking.link_incremental(fresh, events, old.select("event_id", "article_id"), old.select(*batch.columns), now)
+        # A new event that merges stays the article's own; its canonical event is told beside it.
+        told = merges.select(F.col("merged_id").alias("event_id"), "canonical_id")
+        return fresh.join(links.drop("score").join(told, "event_id", "left"), "article_id").withColumn("linked_at", now)
 
     def version(batch: DataFrame) -> DataFrame:
         linked = sink(batch, folder, "linked").join(batch.select("event_id").distinct(), "event_id", "left_semi")

@@ -102,7 +102,7 @@ def test_link_incremental_and_merge(spark):
     arts = spark.createDataFrame([(1, "m1", "Juan Pérez", "habla en Cali", T0), (2, "m2", "Juan Pérez", "habla en Cali", T0), (3, "m1", "Otra Cosa", "distinta del todo", T0)], "article_id int, media_id string, title string, snippet string, published_at timestamp")
     batch = vectors.hash_embedding(arts)
     events = batch.where("1=0").selectExpr("'' as event_id", "'' as state", "published_at as t0", "published_at as t_last")
-    made, new = linking.link_incremental(batch, events, events.selectExpr("event_id", "cast(null as int) as article_id"), batch.where("1=0"), now())
+    made, new, merges = linking.link_incremental(batch, events, events.selectExpr("event_id", "cast(null as int) as article_id"), batch.where("1=0"), now())
     by = {r.article_id: r.event_id for r in made.collect()}
     assert len(by) == 3 and by[1] == by[2] != by[3] and new.count() == 2
     ev = "event_id string, centroid array<double>, article_count int, t0 timestamp"
@@ -373,9 +373,24 @@ def test_canonical_chains_of_any_length(spark):
     rows = [(k, k - 1 if k % 40 else None) for k in range(120)] + [(500, 499)]
     got = {r.event_id: r.canonical_id for r in linking.resolve_canonical(spark.createDataFrame(rows, "event_id long, canonical_event_id long")).collect()}
     assert got == {k: k // 40 * 40 for k in range(120)} | {500: 499}
-    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "event_id long, canonical_event_id long")
-    with pytest.raises(ValueError):
-        linking.resolve_canonical(ring, most_rounds=4)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 8, 1000])
+def test_rings_of_any_length_resolve_to_their_least_id(spark, n):
+    ring = [(5000 + k, 5000 + (k * 7 + 3) % n) for k in range(n)] if n in (1, 2, 4, 8) else [(5000 + k, 5000 + (k + 1) % n) for k in range(n)]
+    order = {a: b for a, b in ring}
+    into = [(k, 5000 + k % n) for k in range(10)]  # leads into the ring
+    plain = [(100, None), (101, 100), (102, 101)]
+    got = {r.event_id: r.canonical_id for r in linking.resolve_canonical(spark.createDataFrame(ring + into + plain, "event_id long, canonical_event_id long")).collect()}
+
+    def end(k):
+        seen = []
+        while k not in seen:
+            seen.append(k)
+            k = order.get(k, k)
+        return min(seen[seen.index(k) :])
+
+    assert got == {a: end(a) for a, _ in ring} | {a: end(b) for a, b in into} | {100: 100, 101: 100, 102: 100}
 
 
 def test_alike_articles_of_one_batch_link_to_each_other(spark):
@@ -384,7 +399,7 @@ def test_alike_articles_of_one_batch_link_to_each_other(spark):
     rows = [(1, vec(0)), (2, vec(0)), (3, vec(1)), (4, vec(0)), (5, vec(1)), (6, vec(2))]
     batch = spark.createDataFrame(rows, "article_id long, embedding_vec array<double>").select("*", F.lit("Ana Diaz").alias("title"), F.lit("").alias("snippet"), F.lit("m").alias("media_id"), at.alias("published_at"))
     events = batch.where("1 = 0").select(F.lit("").alias("event_id"), F.lit("").alias("state"), at.alias("t0"), at.alias("t_last"))
-    made, new = linking.link_incremental(batch, events, events.select("event_id", F.lit(None).cast("long").alias("article_id")), batch.where("1 = 0"), at)
+    made, new, merges = linking.link_incremental(batch, events, events.select("event_id", F.lit(None).cast("long").alias("article_id")), batch.where("1 = 0"), at)
     groups = {}
     for r in made.collect():
         groups.setdefault(r.event_id, set()).add(r.article_id)
