@@ -231,7 +231,8 @@ def cells_of_texts(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
 def stretches_of(texts: DataFrame, cells: DataFrame, window: int) -> DataFrame:
     """The bytes that each cell covers, (did, place, wanted, stretch); a text meets all its cells at once."""
-    wanted = cells.groupBy("did").agg(F.collect_list(F.struct("place", "wanted")).alias("cells"))
+    # Rows of one id and text share their key: a set holds each cell of the text once, however many such rows there are.
+    wanted = cells.groupBy("did").agg(F.collect_set(F.struct("place", "wanted")).alias("cells"))
     both = deflated(texts, ["did"], "text", "packed").join(wanted, "did").select("did", "packed", "cells.place", "cells.wanted")
 
     def run(batches):
@@ -316,7 +317,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     did = F.xxhash64(F.col(id_col), text)
     own_did, key, places_col, raw_col, packed_col = fresh(docs, "__did", "__key", "__places", "__text", "__packed")
     found = repeated_windows(docs.select(did.alias("did"), text.alias("text")).where(F.octet_length("text") >= window), window, gram)
-    places = found.groupBy(F.col("did").alias(key)).agg(F.collect_list("place").alias(places_col))
+    places = found.groupBy(F.col("did").alias(key)).agg(F.collect_set("place").alias(places_col))
     slim = deflated(docs.select(*own, did.alias(own_did), text.alias(raw_col)), [*own, own_did], raw_col, packed_col)
     both = slim.join(places, F.col(own_did) == F.col(key), "left").drop(own_did, key)
 

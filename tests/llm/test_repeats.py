@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -74,3 +75,15 @@ def test_clashing_internal_names(spark):
     df = spark.createDataFrame([(1, "ab" * 300), (2, "x")], "doc_id long, text string").selectExpr("*", "5 as __did", "6 as __key", "7 as __packed")
     got = {r.doc_id: (r.n_removed, r["__did"], r["__key"], r["__packed"]) for r in remove_repeats(df).collect()}
     assert got == {1: (600, 5, 6, 7), 2: (0, 5, 6, 7)}
+
+
+def test_many_rows_without_an_id_take_linear_time(spark):
+    text = "".join(chr(97 + (k * k + 3 * k) % 23) for k in range(3000))
+    rows = [(None, text, "x")] * 2500 + [(1, text[:1000] + "own end of another text", "y"), (2, "alone " * 20, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    began = time.perf_counter()
+    found = remove_repeats(df, keep=["doc_id"]).collect()
+    assert time.perf_counter() - began < 90
+    assert len(found) == len(rows)
+    assert {(r.n_bytes, r.n_removed, r.n_spans) for r in found if r.doc_id is None} == {(3000, 3000, 1)}
+    assert {r.doc_id: r.n_removed for r in found if r.doc_id is not None} == {1: 1000, 2: 0}
