@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -97,7 +98,7 @@ def scan(page: str):
                 return
             at = low
         if page.startswith("<!--", at):
-            end = page.find("-->", at + 4)
+            end = page.find("-->", at + 2)  # <!--> and <!---> are whole comments
             at = end + 3 if end >= 0 else size
             continue
         if page[at + 1 : at + 2] in ("!", "?"):
@@ -135,7 +136,9 @@ def blocks(page: str | None) -> list[Block]:
     def path() -> tuple[str, ...]:
         return tuple(x for _, marks in stack for x in marks)
 
-    for kind, name, rest in scan(page or ""):
+    pieces = list(scan(page or ""))
+    closers = Counter(name for kind, name, _ in pieces if kind == "end" and name in HIDDEN)
+    for kind, name, rest in pieces:
         if kind == "text":
             if hidden:
                 continue
@@ -149,7 +152,12 @@ def blocks(page: str | None) -> list[Block]:
                 now.linked += len(rest)
             continue
         if name in HIDDEN:
-            hidden = max(0, hidden + (1 if kind == "start" and not rest.endswith("/") else -1 if kind == "end" else 0))
+            # An element that is not closed from here on hides nothing.
+            if kind == "end":
+                closers[name] -= 1
+                hidden = max(0, hidden - 1)
+            elif not rest.endswith("/") and closers[name] > 0:
+                hidden += 1
             continue
         if name not in INLINE and kind == "end" and name in ("article", "body", "html", "main"):
             hidden = 0  # what was left open inside ends with it

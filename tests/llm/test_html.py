@@ -102,3 +102,13 @@ def test_a_long_page_is_read_as_one_sequence():
     x, mask = padded([page])
     assert np.allclose(model.logits(x, mask)[0], model.long_logits(page), atol=1e-4)
     assert (model.main_blocks([page, page[:5], page[:0]])[0] == (model.logits(x, mask)[0] > 0)).all()
+
+
+def test_comments_that_are_whole_and_elements_that_are_never_closed_hide_nothing():
+    texts = lambda p: [b.text for b in blocks(p)]
+    assert texts("<p>a<!-->b</p><p>c") == texts("<p>a<!--->b</p><p>c") == ["ab", "c"]
+    assert texts("<p>a<!-- x -- > y -->b") == ["ab"]
+    assert texts("<div><p>x<svg><p>y</p></div><p>z</p>") == ["x", "y", "z"]
+    assert texts("<article><p>x<template><p>y</article><p>z") == ["x", "y", "z"]
+    assert texts("<p>x<svg><p>in</p></svg><p>y<iframe><p>z") == ["x", "y", "z"]
+    assert texts("<p>x<svg>in<svg>in</svg>in</svg><p>y") == ["x", "y"]
