@@ -212,13 +212,16 @@ def mix(posteriors: DataFrame, steps: list[list[float]]) -> DataFrame:
     return posteriors.withColumn("rate", rate_column(steps))
 
 
-def realise(docs: DataFrame, id_col: str = "doc_id", rate_col: str = "rate") -> DataFrame:
+def realise(docs: DataFrame, id_col: str = "doc_id", rate_col: str = "rate", text_col: str = "text") -> DataFrame:
     """Each row as many times as its rate says: the whole part, and one more with the chance of the rest.
 
-    The chance is drawn from the id's hash, so it is the same at every run. A
-    null rate counts as 0.
+    The chance is drawn from the hash of the id, the text and the row's number
+    in the table as it is read, so rows that share an id, or are equal, are
+    drawn apart, and a table that is read again gives the same rows. A null
+    rate counts as 0.
     """
-    chance = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    text = F.col(text_col) if text_col in docs.columns else F.lit("")
+    chance = F.pmod(F.xxhash64(F.col(id_col), text, F.monotonically_increasing_id()), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = F.floor(F.coalesce(F.col(rate_col), F.lit(0.0)) + 1e-6 + chance).cast("int")
     copy = fresh(docs, "__copy")
     return docs.withColumn(copy, copies).where(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).drop(copy)

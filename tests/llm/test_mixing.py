@@ -102,3 +102,9 @@ def test_classifier_held_out(spark):
 def test_realise_keeps_clashing_columns(spark):
     rows = realise(spark.createDataFrame([(1, 2.0)], "doc_id long, rate double").selectExpr("*", "7 as __copy")).collect()
     assert [r["__copy"] for r in rows] == [7, 7]
+
+
+def test_rows_that_share_an_id_are_drawn_apart(spark):
+    df = spark.createDataFrame([(None, f"t{k % 3}", 0.5) for k in range(2000)], "doc_id long, text string, rate double").repartition(4)
+    n = realise(df).count()
+    assert 850 < n < 1150
