@@ -183,13 +183,16 @@ def fit_forests(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     Labelled ids are taken in the order of their hash, so the sample is the
     same at every run; an id with several labels counts as bad if any says
-    so. Null ids and labels are left out.
+    so, and one with several texts is the one of least counts. Null ids and
+    labels are left out.
     """
     ids = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("__quality"))
     picked = ids.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     mine = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     # ``picked`` has at most ``rows`` rows of two numbers, so its size is bounded.
-    found = count_statistics(mine.join(F.broadcast(picked), "__id"), "__text", keep=["__id", "__quality"]).toPandas().sort_values("__id", kind="stable")
+    counted = count_statistics(mine.join(F.broadcast(picked), "__id"), "__text", keep=["__id", "__quality"])
+    one = counted.groupBy("__id").agg(F.min(F.struct("__quality", *COUNTS)).alias("__row")).select("__id", "__row.*")
+    found = one.toPandas().sort_values("__id", kind="stable")
     counts = found[COUNTS].to_numpy(np.int64).reshape(-1, len(COUNTS))
     passed = ~base_failed(counts)
     x, good = ratios(counts[passed]), found["__quality"].to_numpy()[passed] > 0
