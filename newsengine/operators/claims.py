@@ -68,26 +68,34 @@ def top_tokens(claims: DataFrame, k: int = 5, keys: tuple[str, ...] = (*VERSION,
     return tf.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k).select(*keys, "token", "freq", "rank")
 
 
+def combinations(words: Column) -> Column:
+    """All pairs and all triples of a sorted array of at most five words, as arrays."""
+    rest = lambda at: F.slice(words, at + 2, 5)
+    pairs = F.flatten(F.transform(words, lambda x, i: F.transform(rest(i), lambda y: F.array(x, y))))
+    threes = F.flatten(F.transform(words, lambda x, i: F.flatten(F.transform(rest(i), lambda y, j: F.transform(rest(i + j + 1), lambda z: F.array(x, y, z))))))
+    return F.concat(pairs, threes)
+
+
 def detect_contradictions(claims: DataFrame) -> DataFrame:
     """(event_id, version_id, claim_id) of claims that contradict another one of their version.
 
-    Pairs share at least two top tokens; they contradict if both have numbers
-    and the sets differ, or if they share three and just one says "no". Pairs
-    meet on tokens, so unrelated claims never meet; a token joins only with
-    claims whose numbers or negation could contradict. The tokens are written
-    once, as both sides of that join read them.
+    Claims contradict if they share two top tokens, both have numbers and the
+    sets differ, or if they share three and just one says "no". No two claims
+    meet: a claim counts towards each pair and each triple of its at most five
+    top tokens, and where those of one pair have two number sets, or those of
+    one triple are split on "no", every one of them has an opponent. So the
+    work is twenty rows a claim, however many claims share a word.
     """
     no = r"(?<![A-Za-z0-9_])no(?![A-Za-z0-9_])"
-    facts = claims.select(*VERSION, "claim_id", F.array_sort(F.array_distinct(X.extract_numbers(F.col("claim_text")))).alias("nums"), F.col("claim_text").rlike(no).alias("neg"))
-    rows = checkpointed(top_tokens(claims).drop("freq", "rank").join(facts, [*VERSION, "claim_id"]))
-    a, b = rows.alias("a"), rows.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*VERSION, "token")]
-    numbers = (F.size("a.nums") > 0) & (F.size("b.nums") > 0) & (F.col("a.nums") != F.col("b.nums"))
-    negation = F.col("a.neg") != F.col("b.neg")
-    met = a.join(b, [*same, F.col("a.claim_id") < F.col("b.claim_id"), numbers | negation])
-    shared = met.groupBy(*[F.col(f"a.{c}").alias(c) for c in VERSION], F.col("a.claim_id").alias("x"), F.col("b.claim_id").alias("y"), numbers.alias("numbers"), negation.alias("negation")).count()
-    bad = shared.where((F.col("numbers") & (F.col("count") >= 2)) | (F.col("negation") & (F.col("count") >= 3)))
-    return bad.select(*VERSION, F.explode(F.array("x", "y")).alias("claim_id")).distinct()
+    keys = [*VERSION, "claim_id"]
+    words = top_tokens(claims).groupBy(*keys).agg(F.array_sort(F.collect_list("token")).alias("words")).where("size(words) >= 2")
+    facts = claims.select(*keys, F.array_join(F.array_sort(F.array_distinct(X.extract_numbers(F.col("claim_text")))), " ").alias("nums"), F.col("claim_text").rlike(no).cast("string").alias("neg"))
+    rows = checkpointed(words.join(facts, keys))
+    dealt = rows.select(*keys, F.explode(combinations(F.col("words"))).alias("shared"), "nums", "neg")
+    # A pair asks for the numbers of claims that have some, a triple for whether they say "no".
+    told = dealt.select(*keys, "shared", F.when(F.size("shared") == 2, F.nullif("nums", F.lit(""))).otherwise(F.col("neg")).alias("told")).where("told is not null")
+    split = told.groupBy(*VERSION, "shared").agg(F.min("told").alias("a"), F.max("told").alias("b")).where("a <> b").select(*VERSION, "shared")
+    return told.join(split, [*VERSION, "shared"], "left_semi").select(*keys).distinct()
 
 
 def claim_status(claims: DataFrame, contradicted: DataFrame) -> DataFrame:

@@ -432,14 +432,3 @@ def tumbling_counts(spark, d):
     """Line items per supplier and 90-day slot."""
     li = A.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("event_id"), F.floor(F.unix_millis(A.ts("l_shipdate")) / WINDOW_MS).cast("long").alias("slot"))
     return li.groupBy("event_id", "slot").agg(F.count("*").alias("n"))
-
-
-@query()
-def link_incremental(spark, d):
-    """Vectors as one batch of articles against no events: rounds of seeding and linking, so there is no SQL."""
-    vectors, _ = A.vector_events(spark, d)
-    day = F.lit("2024-01-01").cast("timestamp")
-    batch = vectors.select("article_id", F.col("event_id").cast("string").alias("media_id"), F.lit("").alias("title"), F.lit("").alias("snippet"), "embedding_vec", day.alias("published_at"))
-    events = batch.where("1 = 0").select(F.lit("").alias("event_id"), F.lit("").alias("state"), day.alias("t0"), day.alias("t_last"))
-    made, _ = K.link_incremental(batch, events, events.select("event_id", F.lit(None).cast("long").alias("article_id")), batch.where("1 = 0"), day)
-    return made
