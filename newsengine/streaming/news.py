@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsengine.functions import lexicons as L
 from newsengine.operators import bias, claims, ingest, lifecycle, linking, overview, topics, vectors
 from newsengine.sources.shared import checkpointed
 from newsengine.streaming.stages import written
@@ -15,10 +16,13 @@ Step = tuple[str, Callable[[DataFrame], DataFrame], list[str]]
 VERSION = ["event_id", "version_id"]
 
 
-def sink(batch: DataFrame, folder: str, name: str) -> DataFrame | None:
-    """What a stage has left so far, null if nothing."""
+def sink(batch: DataFrame, folder: str, name: str, where: Column | None = None) -> DataFrame | None:
+    """What a stage has left so far, where it is asked for; null if nothing."""
     path = f"{folder}/{name}"
-    return batch.sparkSession.read.parquet(path).drop("sink_part") if written(batch.sparkSession, path) else None
+    if not written(batch.sparkSession, path):
+        return None
+    rows = batch.sparkSession.read.parquet(path)
+    return (rows if where is None else rows.where(where)).drop("sink_part", "sink_day")
 
 
 def gathered(rows: DataFrame, name: str) -> DataFrame:
@@ -44,18 +48,19 @@ def news_steps(folder: str, media: DataFrame, pages: DataFrame, rules: DataFrame
     is one version and holds what belongs to it, so no stage waits for rows of
     another batch. Articles without a title, outlets that are unknown and
     articles that the policy blocks end at their stage; a version without
-    claims keeps its row. Linking reads the links of earlier batches.
+    claims keeps its row. What a page or an article has left before is found by
+    the sink itself, in the parts of a batch's keys; linking reads the links of
+    the last days alone, beyond which no event takes articles.
     """
+    recent = F.date_sub(F.to_date(now), L.CANDIDATE_DAYS + 1)
 
     def discover(batch: DataFrame) -> DataFrame:
-        known = sink(batch, folder, "discovered")
         found = ingest.discover_urls(batch, rules)
-        return ingest.frontier_dedup(found, found.where("1 = 0") if known is None else known).select("media_key", "url")
+        return ingest.frontier_dedup(found, found.where("1 = 0")).select("media_key", "url")
 
     def normalize(batch: DataFrame) -> DataFrame:
         parsed = ingest.parse_article(batch.join(pages.select("media_key", "url", "html"), ["media_key", "url"]), rules).drop("html")
-        known = sink(batch, folder, "normalized")
-        out = ingest.normalize_article(parsed, media, parsed.where("1 = 0") if known is None else known)
+        out = ingest.normalize_article(parsed, media, parsed.where("1 = 0"))
         return out.where("outcome = 'NORMALIZED'").withColumn("article_id", F.substring(F.sha2("url", 256), 1, 24)).drop("outcome")
 
     def policy(batch: DataFrame) -> DataFrame:
@@ -66,14 +71,14 @@ def news_steps(folder: str, media: DataFrame, pages: DataFrame, rules: DataFrame
         return vectors.embed_incremental(batch.where("status = 'POLICY_OK'"), none)
 
     def link(batch: DataFrame) -> DataFrame:
-        known = sink(batch, folder, "linked")
+        known = sink(batch, folder, "linked", F.col("sink_day") >= recent)
         old = batch.where("1 = 0").select("*", F.lit("").alias("event_id"), now.alias("linked_at")) if known is None else known
         events = old.groupBy("event_id").agg(F.lit("DETECTED").alias("state"), F.min("linked_at").alias("t0"), F.max("linked_at").alias("t_last"))
         fresh = batch.join(old.select("article_id"), "article_id", "left_anti")
         links, _, merges = linking.link_incremental(fresh, events, old.select("event_id", "article_id"), old.select(*batch.columns), now)
         # A new event that merges stays the article's own; its canonical event is told beside it.
         told = merges.select(F.col("merged_id").alias("event_id"), "canonical_id")
-        return fresh.join(links.drop("score").join(told, "event_id", "left"), "article_id").withColumn("linked_at", now)
+        return fresh.join(links.drop("score").join(told, "event_id", "left"), "article_id").withColumn("linked_at", now).withColumn("sink_day", F.to_date(now))
 
     def version(batch: DataFrame) -> DataFrame:
         linked = sink(batch, folder, "linked").join(batch.select("event_id").distinct(), "event_id", "left_semi")

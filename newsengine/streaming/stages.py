@@ -85,7 +85,8 @@ def stage_sink(stage: Callable[[DataFrame], DataFrame], path: str, keys: list[st
     A batch that runs again after a failure finds its rows there and appends
     none, so the sink holds each key once. The sink is partitioned by a hash
     of the keys; a batch looks up its keys in its own parts only, and there
-    reads the key columns alone.
+    reads the key columns alone. Rows with a ``sink_day`` are laid out by day
+    below that, so that later stages can read recent days alone.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -98,7 +99,8 @@ def stage_sink(stage: Callable[[DataFrame], DataFrame], path: str, keys: list[st
         if written(spark, path):
             old = spark.read.schema(made.schema).parquet(path).where(F.col("sink_part").isin(parts)).select(*keys)
             made = made.join(old, keys, "left_anti")
-        made.repartition("sink_part").write.mode("append").partitionBy("sink_part").parquet(path)
+        by = ["sink_part", *[c for c in made.columns if c == "sink_day"]]
+        made.repartition("sink_part").write.mode("append").partitionBy(*by).parquet(path)
 
     return run
 
@@ -117,7 +119,7 @@ def chain(source: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFr
         q.awaitTermination()
         if not written(spark, sink):
             return
-        source = spark.readStream.schema(spark.read.parquet(sink).schema).parquet(sink).drop("sink_part")
+        source = spark.readStream.schema(spark.read.parquet(sink).schema).parquet(sink).drop("sink_part", "sink_day")
 
 
 def slot_of(ts: Column, minutes: int = 30) -> Column:
