@@ -127,3 +127,27 @@ def test_edited_copies_link_through_the_text_they_were_made_from(spark):
         rows.append((i, " ".join(own)))
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.class_id for r in got} == {0} and len(got) == 151
+
+
+def test_recall_in_every_band_of_similarity(spark):
+    """Pairs of known similarity, half of them with a repeated line: nine in ten at least share a class in every band."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(3000)]
+    rows, pairs = [], {}
+    while min((len(pairs.get(band, ())) for band in range(4)), default=0) < 60:
+        a = [rng.choice(words) for _ in range(rng.randint(60, 260))]
+        b = list(a)
+        for _ in range(rng.randint(1, 6)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 2)] = [rng.choice(words) for _ in range(rng.randint(0, 2))]
+        line = [rng.choice(words) for _ in range(9)] * rng.choice([0, 40])
+        x, y = (set(s.tolist()) for s in shingles([" ".join(a), " ".join(b + line)]))
+        true = len(x & y) / len(x | y)
+        band = int((true - 0.8) * 20)
+        if 0.8 <= true < 1 and len(pairs.setdefault(band, [])) < 60:
+            k = len(rows)
+            rows += [(k, " ".join(a)), (k + 1, " ".join(b + line))]
+            pairs[band].append(k)
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {band: sum(got[k] == got[k + 1] for k in ks) / len(ks) for band, ks in pairs.items()}
+    assert len(recall) == 4 and min(recall.values()) >= 0.9, recall
