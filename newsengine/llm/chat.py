@@ -25,6 +25,8 @@ NAMES = "(" + "|".join(f"(?P<{r}>{p})" for r, p in SPEAKERS.items()) + ")"
 MARKER = re.compile(r"^\s*(?:[\[<(*#>|-]+\s*)?" + NAMES + r"(?:\s*[\])>*|]+\s*[:>-]?|\s*[:>-])\s*", re.I)
 #: What is taken away: a name and a colon, or a name in a closed pair of brackets, and one space behind it.
 SPOKEN = re.compile(r"(?:" + NAMES + r"[ \t]*:|(?:\[" + NAMES.replace("(?P<", "(?P<b_") + r"\]|<\|?" + NAMES.replace("(?P<", "(?P<c_") + r"\|?>|\*\*" + NAMES.replace("(?P<", "(?P<d_") + r":?\*\*)[ \t]*:?) ?", re.I)
+#: Styles of markers, in the order of the pattern's parts.
+STYLES = ["name:", "[name]", "<name>", "**name**"]
 TURN = "<|{role}|>\n{text}<|end|>\n"
 #: States: role * 2, plus 1 where a line goes on with the turn before.
 STATES = 2 * len(ROLES)
@@ -195,30 +197,62 @@ def boundaries(source: DataFrame, model: Hmm) -> DataFrame:
     return made.mapInArrow(chain, T.StructType([*schema.fields[:2], T.StructField("before", T.IntegerType()), T.StructField("after", T.IntegerType())]))
 
 
-def without_marker(line: str, role: str) -> str:
-    """``line`` without a speaker's marker at its very start that names ``role``; anything else stays as it is."""
+def spoken(line: str) -> tuple[str, str, int] | None:
+    """(style, role, length) of a speaker's marker at the very start of a line."""
     m = SPOKEN.match(line)
-    if m is None or not any(m[f"{p}{role}"] for p in ("", "b_", "c_", "d_")):
+    if m is None:
+        return None
+    for style, p in zip(STYLES, ("", "b_", "c_", "d_"), strict=True):
+        for role in ROLES:
+            if m[f"{p}{role}"]:
+                return style, role, m.end()
+    return None
+
+
+def without_marker(line: str, role: str, styles: list[str] | None = None) -> str:
+    """``line`` without a marker at its start that names ``role`` in one of ``styles`` (any without them); anything else stays as it is."""
+    found = spoken(line)
+    if found is None or found[1] != role or (styles is not None and found[0] not in styles):
         return line
-    return line[m.end() :]
+    return line[found[2] :]
 
 
-def render(lines: list[str], states: list[int]) -> tuple[str, str, int]:
+def render(lines: list[str], states: list[int], styles: list[str] | None = None) -> tuple[str, str, int]:
     """(role of the first line, canonical turns, number of turns) of one row.
 
-    A turn's first line loses a marker that names the decoded role; all other
-    characters stay, white space included. An empty text is one empty turn.
+    A turn's first line loses a marker that names the decoded role in a style
+    of the conversation's own; all other characters stay, white space
+    included. An empty text is one empty turn.
     """
     turns: list[list] = []
     for line, s in zip(lines, states, strict=True):
         if s % 2 == 0 or not turns:
-            turns.append([ROLES[s // 2], [without_marker(line, ROLES[s // 2])]])
+            turns.append([ROLES[s // 2], [without_marker(line, ROLES[s // 2], styles)]])
         else:
             turns[-1][1].append(line)
     text = lambda ls: "\n".join(ls) + ("\n" if any(ls) else "")
     return turns[0][0], "".join(TURN.format(role=r, text=text(ls)) for r, ls in turns), len(turns)
 
 
+def own_styles(source: DataFrame) -> DataFrame:
+    """(conv, styles): the marker styles in which a conversation names two speakers or more, at the start of rows.
+
+    A single "Model: T5" or "Answer: 42" is so taken as content, not as a marker.
+    """
+    kind = source.schema["__conv"].dataType
+    schema = T.StructType([T.StructField("conv", kind), T.StructField("style", T.StringType()), T.StructField("role", T.StringType())])
+
+    def run(batches):
+        for b in batches:
+            found = [(c, m[0], m[1]) for c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (m := spoken(lines_of(text)[0]))]
+            cols = list(zip(*found, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], to_arrow_type(kind)), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["conv", "style", "role"])
+
+    told = source.select("__conv", "__c0").mapInArrow(run, schema)
+    named = told.groupBy("conv", "style").agg(F.countDistinct("role").alias("n")).where("n >= 2")
+    return named.groupBy("conv").agg(F.collect_set("style").alias("styles"))  # at most four
+
+
 def format_chats(transcripts: DataFrame, model: Hmm, conv: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
     """(conv, order, role, n_lines, n_turns, rendered) for every row of the transcripts.
 
@@ -227,13 +261,17 @@ def format_chats(transcripts: DataFrame, model: Hmm, conv: str = "conv_id", orde
     of the row's first line, ``rendered`` the row's turns in one canonical
     form. Null texts are one empty line, null conversations are one
     conversation, rows without an order come first, ties are ordered by the
-    text. Other columns are not read. Conversations of more than ``PIECE``
+    text. Other columns are not read. A marker is taken away only in a style
+    in which the conversation names two speakers. Conversations of more than ``PIECE``
     rows are decoded in pieces whose ends are fixed by the whole conversation,
     from 42 numbers of each piece.
     """
+    prepare_workers(transcripts.sparkSession)
     source = cut(ordered(transcripts, conv, order, text))
     ends = boundaries(source, model)
     joined = source.join(ends, F.col("__conv").eqNullSafe(F.col("conv")) & (F.col("__piece") == F.col("piece")), "left").select(*source.columns, "before", "after")
+    styles = own_styles(source)
+    joined = joined.join(styles, F.col("__conv").eqNullSafe(styles["conv"]), "left").select(*source.columns, "before", "after", F.coalesce("styles", F.array().cast("array<string>")).alias("styles"))
     joined = joined.repartition("__conv", "__piece").sortWithinPartitions("__conv", "__piece", "__row")
     fields = [T.StructField(conv, source.schema["__conv"].dataType), T.StructField(order, source.schema["__order"].dataType), T.StructField("role", T.StringType()), T.StructField("n_lines", T.IntegerType()), T.StructField("n_turns", T.IntegerType()), T.StructField("rendered", T.StringType())]
     arrow = [to_arrow_type(f.dataType) for f in fields]
@@ -246,7 +284,7 @@ def format_chats(transcripts: DataFrame, model: Hmm, conv: str = "conv_id", orde
             path = model.viterbi(seen, STATES if rows[0]["before"] is None else rows[0]["before"], rows[0]["after"])
             at = 0
             for r, own in zip(rows, ls, strict=True):
-                role, text_, n = render(own, path[at : at + len(own)])
+                role, text_, n = render(own, path[at : at + len(own)], r["styles"])
                 at += len(own)
                 done.append((r["__conv"], r["__order"], role, len(own), n, text_))
             if len(done) >= 1000:
@@ -255,5 +293,4 @@ def format_chats(transcripts: DataFrame, model: Hmm, conv: str = "conv_id", orde
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), arrow, strict=True)], names=[f.name for f in fields])
 
-    prepare_workers(transcripts.sparkSession)
     return joined.mapInArrow(decode, T.StructType(fields))

@@ -81,3 +81,16 @@ def test_a_conversation_without_an_order_is_cut_into_pieces(spark):
     df = spark.createDataFrame([(1, None, "same")] * (3 * PIECE) + [(None, 1, "x")] * (PIECE + 1), "conv_id long, turn long, text string")
     sizes = {(r["__conv"], r["__piece"]): r["count"] for r in ordered(df, "conv_id", "turn", "text").groupBy("__conv", "__piece").count().collect()}
     assert sizes == {(1, 0): PIECE, (1, 1): PIECE, (1, 2): PIECE, (None, 0): PIECE, (None, 1): 1}
+
+
+def test_text_that_looks_like_a_marker_stays(spark):
+    rng = random.Random(8)
+    fit = fit_hmm(spark.createDataFrame([r for c in range(80) for r in talk(rng, c, 6)], "conv_id long, turn long, role string, text string"))
+    plain = [(1, 0, "What is it?"), (1, 1, "Model: T5 | size"), (1, 2, "And that?"), (1, 3, "It is a thing that has a long description, with words.")]
+    marked = [(2, 0, "User: What is it?"), (2, 1, "Assistant: It is a thing, with words."), (2, 2, "[ai] is a word"), (2, 3, "Assistant: yes")]
+    alone = [(3, 0, "Answer: 42"), (None, 0, "Context: see"), (None, 1, None)]
+    got = {(r.conv_id, r.turn): r.rendered for r in format_chats(spark.createDataFrame(plain + marked + alone, "conv_id long, turn long, text string"), fit).collect()}
+    assert len(got) == 11
+    for c, t, text in plain + alone:
+        assert (text or "") in got[c, t]
+    assert "User:" not in got[2, 0] and "Assistant:" not in got[2, 1] and "[ai] is a word" in got[2, 2]
