@@ -150,13 +150,14 @@ def audit_by_entity(spark, d):
     return S.audit_by_entity(log, "ERROR", "8").select(F.col("id").alias("entity_id"), F.unix_micros("occurred_at").alias("at"))
 
 
-@query(r"""WITH a AS (SELECT doc_id, source, string_split(text, chr(10))[1] AS title, text FROM documents)
-SELECT doc_id AS article_id, length(substring(text, 1, 600))::INT AS snippet_chars, CASE WHEN source = 'src1' THEN 'FETCH_FAIL' WHEN length(regexp_replace(title, '^\s+|\s+$', '', 'g')) = 0 THEN 'PARSE_FAIL' ELSE 'NORMALIZED' END AS outcome FROM a""")
+@query(r"""WITH a AS (SELECT doc_id, source, lang, string_split(text, chr(10))[1] AS title, text FROM documents)
+SELECT doc_id AS article_id, length(substring(text, 1, 600))::INT AS snippet_chars, CASE WHEN source = 'src1' THEN 'FETCH_FAIL' WHEN lang = 'de' THEN 'DUPLICATE_URL' WHEN length(regexp_replace(title, '^\s+|\s+$', '', 'g')) = 0 THEN 'PARSE_FAIL' ELSE 'NORMALIZED' END AS outcome FROM a""")
 def normalize_article(spark, d):
-    """Outcome of every document as a parsed page; one source is no known outlet."""
+    """Outcome of every document as a parsed page; one source is no known outlet, the German ones are stored already."""
     a = A.document_articles(spark, d)
     media = A.source_media(spark, d).where("media_key <> 'src1'").select("media_key", "media_id")
-    out = I.normalize_article(a.drop("media_id"), media, a.where("1 = 0").select("url"))
+    german = A.table(spark, d, "documents").where("lang = 'de'").select(F.col("doc_id").alias("article_id"))
+    out = I.normalize_article(a.drop("media_id"), media, a.join(german, "article_id", "left_semi").select("url"))
     return out.select("article_id", F.length("snippet").alias("snippet_chars"), "outcome")
 
 
@@ -288,16 +289,16 @@ def dominant_topic(spark, d):
     return heat.select("event_id", "bin_index", P.dominant_topic(F.col("topics")).alias("dominant"))
 
 
-@query(f"WITH {HEAT_SQL}, dm AS (SELECT event_id, bin_index, (max((share, topic_key)))[2] AS topic FROM heat GROUP BY 1, 2), i AS (SELECT event_id, arg_min(topic, bin_index) AS initial FROM dm GROUP BY 1), g AS (SELECT dm.event_id, topic, bin_index, bin_index - row_number() OVER (PARTITION BY dm.event_id, topic ORDER BY bin_index) AS island FROM dm JOIN i ON i.event_id = dm.event_id WHERE topic <> initial), r AS (SELECT event_id, topic, island, min(bin_index) AS sb FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 3), dr AS (SELECT event_id, arg_min(topic, (sb, topic)) AS t, min(sb) AS sb FROM r GROUP BY 1) SELECT dr.event_id, 'FASE 2: ' || t AS label, count(DISTINCT l_orderkey)::INT AS n_articles FROM dr JOIN lineitem ON l_suppkey = dr.event_id AND l_returnflag = t GROUP BY 1, 2")
+@query(f"WITH {HEAT_SQL}, dm AS (SELECT event_id, bin_index, (max((share, topic_key)))[2] AS topic FROM heat GROUP BY 1, 2), i AS (SELECT event_id, arg_min(topic, bin_index) AS initial FROM dm GROUP BY 1), g AS (SELECT dm.event_id, topic, bin_index, bin_index - row_number() OVER (PARTITION BY dm.event_id, topic ORDER BY bin_index) AS island FROM dm JOIN i ON i.event_id = dm.event_id WHERE topic <> initial), r AS (SELECT event_id, topic, island, min(bin_index) AS sb FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 3), dr AS (SELECT event_id, arg_min(topic, (sb, topic)) AS t, min(sb) AS sb FROM r GROUP BY 1) SELECT dr.event_id, 'FASE 2: ' || t AS label, count(DISTINCT l_orderkey)::INT AS n_articles, 0 AS n_claims FROM dr JOIN lineitem ON l_suppkey = dr.event_id AND l_returnflag = t GROUP BY 1, 2 UNION ALL SELECT s_suppkey, 'RAMA: ' || s_name, 0, 2 FROM supplier WHERE s_acctbal > 5000 AND s_suppkey IN (SELECT l_suppkey FROM lineitem)")
 def build_subevents(spark, d):
-    """Sub-events from topic drift of suppliers."""
+    """Sub-events from topic drift of suppliers, and a branch for those with a high balance."""
     w = A.item_topics(spark, d)
     drift = P.topic_drift(P.heatmap_rows(w, A.WINDOW_HOURS))
     assigned = A.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("event_id"), F.col("l_returnflag").alias("topic_key"), F.col("l_orderkey").alias("article_id"))
     versions = w.select("event_id").distinct().withColumn("version_id", F.lit(0))
-    none = versions.where("1 = 0").select("event_id", "version_id", F.lit("").alias("label"), F.array().cast("array<string>").alias("claim_ids"))
-    out = P.build_subevents(versions, drift, assigned, none)
-    return out.select("event_id", F.explode("subevents").alias("s")).select("event_id", "s.label", F.size("s.article_ids").alias("n_articles"))
+    branch = A.table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("event_id"), F.lit(0).alias("version_id"), F.concat(F.lit("RAMA: "), "s_name").alias("label"), F.array("s_name", F.col("s_nationkey").cast("string")).alias("claim_ids"))
+    out = P.build_subevents(versions, drift, assigned, branch)
+    return out.select("event_id", F.explode("subevents").alias("s")).select("event_id", "s.label", F.size("s.article_ids").alias("n_articles"), F.size("s.key_claim_ids").alias("n_claims"))
 
 
 @query(f"WITH {BIAS_SQL} SELECT article_id, coalesce(nullif(array_to_string(list_filter([" + ", ".join(f"CASE WHEN {k} > {v} THEN '{n}' END" for k, v, n in L.BIAS_SIGNALS) + f"], lambda x: x IS NOT NULL), ','), ''), '{L.NO_SIGNAL}') AS signals FROM f")

@@ -216,14 +216,13 @@ def discover_urls(spark, d):
     return I.discover_urls(pages, rules).select("page_url", "url", F.col("pos").cast("long").alias("pos"))
 
 
-@query("WITH f AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY 1) SELECT f.url, f.page_id FROM f WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id = f.page_id AND x.lang = 'fr')")
+@query("SELECT url, min(page_id) AS page_id FROM pages WHERE url NOT IN (SELECT p.url FROM pages p JOIN documents x ON x.doc_id = p.page_id AND x.lang = 'fr') GROUP BY 1")
 def frontier_dedup(spark, d):
-    """The first page of each URL that is not stored yet; pages whose id is a French document count as stored."""
+    """The first page of each URL that is no article yet; the URLs of pages whose id is a French document are."""
     p = A.table(spark, d, "pages")
     found = p.select("url", F.lit("any").alias("media_key"), F.lit("").alias("page_url"), F.col("page_id").alias("pos"))
-    stored = p.join(A.table(spark, d, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("page_id")), "page_id", "left_semi").select("url", "page_id")
-    first = I.frontier_dedup(found, p.select("url").where("1 = 0")).select("url", F.col("pos").alias("page_id"))
-    return first.join(stored.select("page_id"), "page_id", "left_anti").select("url", "page_id")
+    stored = p.join(A.table(spark, d, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("page_id")), "page_id", "left_semi")
+    return I.frontier_dedup(found, stored).select("url", F.col("pos").alias("page_id"))
 
 
 @query("SELECT source AS media_key, count(*) FILTER (WHERE lang = 'en') AS discovered, count(*) FILTER (WHERE lang = 'fr') AS skipped, count(*) FILTER (WHERE lang NOT IN ('en', 'fr')) AS fetch_fail FROM documents GROUP BY ROLLUP (source)")
