@@ -19,7 +19,7 @@ from newsengine.llm.quality import COUNTS, fit_forests, judge_quality
 from newsengine.llm.repeats import remove_repeats
 from newsengine.llm.tiff import tiff_pages, tiff_store
 from newsengine.llm.trie import shared_prefix_trie
-from newsengine.llm.urls import UrlRule, judge_urls, mine_rules
+from newsengine.llm.urls import ALLOW_LIMITS, UrlRule, judge_urls, mine_rules
 from newsengine.llm.whitening import fit_whitener, whiten
 
 #: Vocabulary file of the encoding query.
@@ -46,10 +46,11 @@ def vocabulary(name: str = BPE_FILE) -> str:
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judge every URL of ``pages``; rules are mined from pages whose id is labelled (blocked: quality 0)."""
+    """Judge every URL of ``pages``; rules of both verdicts are mined from pages whose id is labelled (blocked: quality 0)."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("blocked"))
-    mined = mine_rules(pages.join(labels, "page_id"))
+    labelled = pages.join(labels, "page_id")
+    mined = mine_rules(labelled).union(mine_rules(labelled, ALLOW_LIMITS, verdict="allow"))
     return judge_urls(pages, URL_RULES, mined).select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")
 
 

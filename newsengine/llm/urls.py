@@ -8,7 +8,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsengine.llm.frames import fresh
+from newsengine.llm.frames import cut, fresh
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,13 +28,17 @@ class UrlRule:
 
 @dataclass(frozen=True)
 class MiningLimits:
-    """A rule needs so large a share of the blocked URLs, so many blocked URLs, and so high a confidence."""
+    """A rule needs so large a share of its verdict's URLs, so many of them, and so high a confidence."""
 
     min_share: float = 0.005
     min_rows: int = 5
     min_confidence: float = 0.6
 
 
+#: Most URLs are allowed, so a rule that allows needs more.
+ALLOW_LIMITS = MiningLimits(0.02, 20, 0.9)
+
+
 def url_host(url: Column) -> Column:
     """From after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://([^/?#]*)", 1), F.lit("")), ASCII_UPPER, ASCII_LOWER)
@@ -61,18 +65,20 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(part(url_host(url), r"\.", "h:"), part(url_path(url), "[/.]", "p:"), part(query, "[&=]", "q:")))
 
 
-def mine_rules(labelled: DataFrame, limits: MiningLimits = MiningLimits(), url_col: str = "url", blocked_col: str = "blocked") -> DataFrame:
-    """Rules (rule_id, items, anchor, support, rows, confidence) that tell blocked URLs.
+def mine_rules(labelled: DataFrame, limits: MiningLimits = MiningLimits(), url_col: str = "url", blocked_col: str = "blocked", verdict: str = "block") -> DataFrame:
+    """Rules (rule_id, items, anchor, support, rows, confidence, verdict) that tell URLs of one verdict, block or allow.
 
-    FP-growth finds the token sets that are frequent among blocked URLs; one
-    inverted-index pass over all labelled URLs counts the rows each set fits,
-    so that confidence is support / rows. Rules under the limits go, and so do
-    rules with a part that is as confident. Null URLs and labels count for
-    nothing; without blocked URLs there are no rules. Repeated rows count as
-    often as they occur.
+    FP-growth finds the token sets that are frequent among that verdict's
+    URLs; one inverted-index pass over all labelled URLs counts the rows each
+    set fits, so that confidence is support / rows. Rules under the limits go,
+    and so do rules with a part that is as confident. Null URLs and labels
+    count for nothing; without URLs of the verdict there are no rules.
+    Repeated rows count as often as they occur.
     """
-    rows = labelled.where(F.col(url_col).isNotNull() & F.col(blocked_col).isNotNull()).select(url_tokens(F.col(url_col)).alias("items"), F.col(blocked_col).cast("boolean").alias("bad")).groupBy("items", "bad").count().where(F.size("items") > 0).cache()
-    blocked = rows.where("bad")
+    told = F.col(blocked_col).cast("boolean") == F.lit(verdict == "block")
+    known = labelled.where(F.col(url_col).isNotNull() & F.col(blocked_col).isNotNull())
+    rows = cut(known.select(url_tokens(F.col(url_col)).alias("items"), told.alias("told")).groupBy("items", "told").count().where(F.size("items") > 0))
+    blocked = rows.where("told")
     n = blocked.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
     least = max(limits.min_rows, limits.min_share * n)
     spread = blocked.select("items", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
@@ -92,7 +98,7 @@ def mine_rules(labelled: DataFrame, limits: MiningLimits = MiningLimits(), url_c
         .select("rule_id")
         .distinct()
     )
-    return rules.join(useless, "rule_id", "left_anti").select("rule_id", "items", "anchor", "support", "rows", "confidence")
+    return rules.join(useless, "rule_id", "left_anti").select("rule_id", "items", "anchor", "support", "rows", "confidence", F.lit(verdict).alias("verdict"))
 
 
 def matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -108,15 +114,16 @@ def matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: list[UrlRule], mined: DataFrame, url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule, verdict, mined_rule and confidence.
 
-    A stated rule decides first, the longest one; else a URL that fits any
-    mined rule is blocked and names the most confident one. Null URLs and
+    A stated rule decides first, the longest one; else a mined rule that the
+    URL fits, the most confident of those that block, or if none does of those
+    that allow; else it is allowed. Null URLs and
     those without ``://`` have an empty host and path. Every row is judged,
     repeated ones alike; equal URLs are matched once. Clashing columns are
     replaced. ``rules`` is a stated list; ``mined`` is joined, never collected.
     """
     url, stated, mined_col = fresh(pages, "__url", "__rule", "__mined")
     urls = pages.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias(url)).distinct().select(url, url_tokens(F.col(url)).alias("tokens"))
-    best = matches(urls, mined).groupBy(url).agg(F.max_by(F.struct("rule_id", "confidence"), F.struct("confidence", "support", "rule_id")).alias(mined_col))
+    best = matches(urls, mined).groupBy(url).agg(F.max_by(F.struct("rule_id", "confidence", "verdict"), F.struct(F.col("verdict") == "block", "confidence", "support", "rule_id")).alias(mined_col))
     own = [c for c in pages.columns if c.lower() not in {"host", "path", "rule", "verdict", "mined_rule", "confidence"}]
     host, path = url_host(F.col(url_col)), url_path(F.col(url_col))
     judged = pages.select(*own, host.alias("host"), path.alias("path"), stated_rule(host, path, rules).alias(stated), F.col(url_col).alias(f"{url}_of"))
@@ -126,7 +133,7 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], mined: DataFrame, url_col
         "host",
         "path",
         F.col(stated)["rule"].alias("rule"),
-        F.coalesce(F.col(stated)["verdict"], F.when(F.col(mined_col).isNotNull(), "block").otherwise("allow")).alias("verdict"),
+        F.coalesce(F.col(stated)["verdict"], F.col(mined_col)["verdict"], F.lit("allow")).alias("verdict"),
         F.col(mined_col)["rule_id"].alias("mined_rule"),
         F.col(mined_col)["confidence"].alias("confidence"),
     )

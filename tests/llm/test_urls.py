@@ -53,6 +53,15 @@ def test_mined_rules_equal_brute_force(spark):
     assert got == want and want
     judged = judge_urls(df.selectExpr("url"), [], mine_rules(df, limits)).where("verdict = 'block'").select("url").distinct().collect()
     assert {r.url for r in judged} == {u for u, _ in rows if u and "casino" in u and "/en/" in u}
+    allow = MiningLimits(0.05, 5, 0.88)
+    found = mine_rules(df, allow, verdict="allow")
+    for r in found.collect():
+        n, s = sum(set(r["items"]) <= t for t, _ in tokens), sum(set(r["items"]) <= t for t, b in tokens if not b)
+        assert (r.support, r["rows"], r.verdict) == (s, n, "allow") and s / n >= 0.88
+    both = mine_rules(df, limits).union(found)
+    for r in judge_urls(df.selectExpr("url"), [], both).where("url is not null").collect():
+        spam = "casino" in r.url and "/en/" in r.url
+        assert r.verdict == ("block" if spam else "allow") and (spam or "news" not in r.url or r.mined_rule)
 
 
 def test_clashing_internal_names(spark):
