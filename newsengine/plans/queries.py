@@ -288,7 +288,7 @@ def decide_link(spark, d):
     at = lambda n: F.timestamp_millis(F.unix_millis(day) + n * 86_400_000)
     features = V.centroid(vectors).select("event_id", "centroid", F.array().cast("array<string>").alias("entities"), F.when(F.col("event_id") % 2 == 0, 2).otherwise(1).alias("unique_media"), at(F.col("event_id")).alias("t0"), at(F.col("event_id")).alias("t_last"))
     articles = vectors.select("article_id", "embedding_vec", F.lit("").alias("title"), F.lit("").alias("snippet"), at(F.col("article_id") % 20).alias("published_at"))
-    scored = K.score_candidates(articles, features, at(F.lit(7)), days=30)
+    scored = K.score_candidates(articles, features, at(F.lit(7)), days=30, least=0.25)
     return K.decide_link(articles, scored, link=0.3, maybe_link=0.25).select("article_id", "action", "event_id", *r6("score"), "basis")
 
 

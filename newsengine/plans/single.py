@@ -290,7 +290,7 @@ SELECT article_id, CASE WHEN basis IS NULL THEN 'CREATE' ELSE 'LINK' END AS acti
 def decide_link_thresholds(spark, d):
     """Decisions of every vector at the inventory's thresholds."""
     arts, made, at = label_features(spark, d)
-    return K.decide_link(arts, K.score_candidates(arts, made, at(F.lit(7)), days=30)).select("article_id", "action", "event_id", *r6("score"))
+    return K.decide_link(arts, K.score_candidates(arts, made, at(F.lit(7)), days=30, least=L.THETA_MAYBE)).select("article_id", "action", "event_id", *r6("score"))
 
 
 @query(f"WITH {LABEL_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY round(sim, 9) DESC, event_id) AS rn FROM s) SELECT article_id, CASE WHEN sim >= {L.THETA_V1} THEN 'LINK' ELSE 'CREATE' END AS action, CASE WHEN sim >= {L.THETA_V1} THEN event_id END AS event_id FROM b WHERE rn = 1")
