@@ -11,7 +11,7 @@ from newsengine.plans import linkage, more, parts, queries, single  # noqa: F401
 FOLDER = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: All of them with ALL_QUERIES=1; else a few of each kind.
-SOME = "rank_events ranking_stats sticky_rank junk_score chronological_feed feed_neighbors viewed_history policy_gate parse_article discover_urls frontier_dedup scrape_summary hash_embedding decide_link merge_check version_diff build_packet build_claims overview_sections derive_teaser score_topics topic_drift emergent_topics bias_labels media_profile_update validate_payload validate_envelope histogram_summary user_sessions packet_merge event_detail apply_external_pair_score detect_contradictions near_pairs merge_check_limit link_incremental link_v1_threshold claim_divergence".split()
+SOME = "rank_events ranking_stats sticky_rank junk_score chronological_feed feed_neighbors viewed_history policy_gate parse_article discover_urls frontier_dedup scrape_summary hash_embedding decide_link merge_check version_diff build_packet build_claims overview_sections derive_teaser score_topics topic_drift emergent_topics bias_labels media_profile_update validate_payload validate_envelope histogram_summary user_sessions packet_merge event_detail apply_external_pair_score near_pairs merge_check_limit link_incremental link_v1_threshold claim_divergence".split()
 NAMES = sorted(queries.SQL) if os.environ.get("ALL_QUERIES") else SOME
 
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")
