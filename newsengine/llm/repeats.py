@@ -12,11 +12,15 @@ cells, down to single windows, whose digit is the window itself. Two cells that
 agree on all bytes of all their windows are settled without going deeper, so
 whole copies cost one digit and no pass sees all pairs of anything.
 
+The same passes can sort suffixes of words beside those of bytes: each word then
+stands for itself by its hash, and a window is a number of words.
+
 Digits are compared by 64-bit polynomial hashes.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -25,17 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsengine.llm.frames import cut, fresh, map_columns, prepare_workers, release
+from newsengine.llm.frames import Scratch, fresh, map_columns, prepare_workers, release
 
 #: Bytes of a repeated window, and of the run that anchors it.
 WINDOW, GRAM = 400, 32
 #: Windows in a cell at each pass; the last pass looks at single windows.
 PASSES = (185, 24, 1)
+#: The same for windows of words: words of a run, and windows in a cell.
+WORD_GRAM, WORD_PASSES = 4, (32, 6, 1)
+#: Marks the places of cells of words.
+WORDS = 1 << 62
 #: Texts are read in pieces of at most so many bytes.
 PIECE = 1 << 20
 # An odd base and its inverse modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -64,12 +73,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashes:
-    """Hash of any stretch of ``data`` in constant time."""
+    """Hash of any stretch of ``data``, bytes or hashed words, in constant time."""
 
     def __init__(self, data: np.ndarray):
         self.up, down = powers(len(data) + 1)
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[data] * down[: len(data)], dtype=np.uint64)])
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((BYTES[data] if data.dtype == np.uint8 else data) * down[: len(data)], dtype=np.uint64)])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -107,8 +116,43 @@ def digits(hashes: Hashes, anchor: np.ndarray, low: np.ndarray, high: np.ndarray
     return key.view(np.int64), full.view(np.int64)
 
 
-def first_cells(raw: list[bytes], window: int, gram: int, size: int) -> dict[str, np.ndarray]:
-    """Cells of a batch of texts: row, start, count, low, key and full."""
+def words_of(raw: list[bytes]) -> list[np.ndarray]:
+    """The hash of each word of each text, words being what stands between blanks."""
+    parts, owner = [], []
+    for r, text in enumerate(raw):
+        at = 0
+        while at < len(text):  # pieces end at a blank
+            blank = BLANK.search(text, at + PIECE)
+            end = blank.start() if blank else len(text)
+            parts.append(text[at:end])
+            owner.append(r)
+            at = end
+    out: list[list[np.ndarray]] = [[] for _ in raw]
+    at = 0
+    while at < len(parts):
+        n, size = 0, 0
+        while at + n < len(parts) and (not n or size + len(parts[at + n]) <= PIECE):
+            size += len(parts[at + n]) + 1
+            n += 1
+        data = np.frombuffer(b" ".join([b"", *parts[at : at + n], b""]), np.uint8)
+        word = (data != 0x20) & ((data < 0x09) | (data > 0x0D))
+        edges = np.flatnonzero(word[1:] != word[:-1]) + 1
+        start, end = edges[::2], edges[1::2]
+        values = mixed(Hashes(data).of(start, end))
+        bounds = np.searchsorted(start, np.cumsum([1, *(len(p) + 1 for p in parts[at : at + n])]))
+        for k in range(n):
+            out[owner[at + k]].append(values[bounds[k] : bounds[k + 1]])
+        at += n
+    return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.uint64), *x]) for x in out]
+
+
+def joined(parts: list) -> np.ndarray:
+    """Stretches, bytes or arrays of hashed words, in one array."""
+    return np.frombuffer(b"".join(parts), np.uint8) if isinstance(parts[0], bytes) else np.concatenate(parts)
+
+
+def first_cells(raw: list, window: int, gram: int, size: int) -> dict[str, np.ndarray]:
+    """Cells of a batch of texts, bytes or arrays of hashed words: row, start, count, low, key and full."""
     rows, bases, parts, total = [], [], [], 0
     for r, text in enumerate(raw):
         step = PIECE - window + 1
@@ -120,12 +164,12 @@ def first_cells(raw: list[bytes], window: int, gram: int, size: int) -> dict[str
             total += len(piece)
     out: dict[str, list] = {k: [] for k in ("row", "start", "count", "low", "key", "full")}
     at = 0
-    while at < len(parts):  # about PIECE bytes at a time
+    while at < len(parts):  # about PIECE bytes or words at a time
         n, size_now = 0, 0
         while at + n < len(parts) and (not n or size_now + len(parts[at + n]) <= PIECE):
             size_now += len(parts[at + n])
             n += 1
-        data = np.frombuffer(b"".join(parts[at : at + n]), np.uint8)
+        data = joined(parts[at : at + n])
         hashes = Hashes(data)
         anchor = anchors(hashes, len(data), window, gram)
         first = np.array([b[0] for b in bases[at : at + n]]) - bases[at][0]
@@ -150,8 +194,8 @@ def first_cells(raw: list[bytes], window: int, gram: int, size: int) -> dict[str
     return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
 
 
-def finer_cells(stretches: list[bytes], low: np.ndarray, count: np.ndarray, window: int, gram: int, size: int) -> dict[str, np.ndarray]:
-    """Cells of ``size`` within cells given by the bytes that they cover: row, shift of the start, count, low, key, full."""
+def finer_cells(stretches: list, low: np.ndarray, count: np.ndarray, window: int, gram: int, size: int) -> dict[str, np.ndarray]:
+    """Cells of ``size`` within cells given by the bytes or words that they cover: row, shift of the start, count, low, key, full."""
     lengths = np.array([len(x) for x in stretches], np.int64)
     base = np.cumsum(lengths) - lengths
     high = low + count - 1
@@ -160,7 +204,7 @@ def finer_cells(stretches: list[bytes], low: np.ndarray, count: np.ndarray, wind
     kind = (low // size)[row] + np.arange(len(row)) - np.repeat(np.cumsum(kinds) - kinds, kinds)
     lo = np.maximum(low[row], kind * size)
     hi = np.minimum(high[row], kind * size + size - 1)
-    hashes = Hashes(np.frombuffer(b"".join(stretches), np.uint8))
+    hashes = Hashes(joined(stretches))
     key, full = digits(hashes, base[row] + high[row], lo, hi, size, window, gram)
     return {"row": row, "shift": high[row] - hi, "count": hi - lo + 1, "low": lo, "key": key, "full": full}
 
@@ -171,14 +215,14 @@ def packed(start: np.ndarray, count: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return place >> 20, place >> 10 & 1023, place & 1023
+    return (place & (WORDS - 1)) >> 20, place >> 10 & 1023, place & 1023
 
 
 CELL = "did long, key long, full long, place long, origin long, wanted boolean"
 
 
-def sort_pass(cells: DataFrame, copies: bool) -> tuple[DataFrame, DataFrame]:
-    """One digit: (settled places, what goes on to the next digit) of cells.
+def sort_pass(cells: DataFrame, copies: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame, list[str]]:
+    """One digit: (settled places, what goes on to the next digit, what that is read from) of cells.
 
     A cell whose key no other cell has is out. Cells that agree on ``full``
     are settled; with ``copies`` equal places count as two, for repeated rows.
@@ -189,17 +233,19 @@ def sort_pass(cells: DataFrame, copies: bool) -> tuple[DataFrame, DataFrame]:
     joined, so both joins meet plain shuffles, of which Spark can split the
     partition of a frequent key.
     """
-    shared = cut(cells.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
-    live = cut(cells.join(shared, "key").select("did", "key", "full", "place", "origin", "wanted"))
+    shared, shared_at = scratch.keep(cells.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
+    live, live_at = scratch.keep(cells.join(shared, "key").select("did", "key", "full", "place", "origin", "wanted"))
+    scratch.drop(shared_at)
     spot = F.struct("did", "place", "origin")
     kinds = live.groupBy("key", "full").agg(F.count("*").alias("m"), F.min(spot).alias("spot"), F.max(spot).alias("other"), F.max("wanted").alias("wanted"))
     kinds = kinds.withColumn("again", F.col("m") > 1 if copies else F.col("spot") != F.col("other")).select("key", "full", "spot", "again", "wanted")
-    kinds = cut(kinds)
-    settled = live.where("wanted").join(kinds.where("again and wanted").select("key", "full"), ["key", "full"]).select("did", "place")
+    kinds, kinds_at = scratch.keep(kinds)
+    settled, _ = scratch.keep(live.where("wanted").join(kinds.where("again and wanted").select("key", "full"), ["key", "full"]).select("did", "place"))
+    scratch.drop(live_at)
     lone = ~F.col("again") & F.col("wanted")
     mixed_keys = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max(lone).alias("lone")).where("kinds > 1 and lone").select("key")
     onward = kinds.join(mixed_keys, "key").select("spot.*", lone.alias("wanted"))
-    return settled, onward
+    return settled, onward, [kinds_at]
 
 
 def deflated(texts: DataFrame, keep: list[str], text_col: str, packed_col: str) -> DataFrame:
@@ -211,7 +257,7 @@ def deflated(texts: DataFrame, keep: list[str], text_col: str, packed_col: str)
     return map_columns(texts, keep, [text_col], [T.StructField(packed_col, T.BinaryType())], make)
 
 
-def cells_of_texts(texts: DataFrame, window: int, gram: int) -> DataFrame:
+def cells_of_texts(texts: DataFrame, window: int, gram: int, words: int | None) -> DataFrame:
     """Cells of the first pass from (did, text)."""
 
     def run(batches):
@@ -219,18 +265,22 @@ def cells_of_texts(texts: DataFrame, window: int, gram: int) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 part = whole.slice(at, 256)
                 did = part.column(0).to_numpy()
-                c = first_cells([(t or "").encode("utf-8") for t in part.column(1).to_pylist()], window, gram, PASSES[0])
-                place = packed(c["start"], c["count"], c["low"])
-                zero = np.zeros(len(place), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[c["row"]], c["key"], c["full"], place, zero, zero == 0)], names=["did", "key", "full", "place", "origin", "wanted"])
+                raw = [(t or "").encode("utf-8") for t in part.column(1).to_pylist()]
+                found = [(0, first_cells(raw, window, gram, PASSES[0]))]
+                if words:
+                    found.append((WORDS, first_cells(words_of(raw), words, WORD_GRAM, WORD_PASSES[0])))
+                for mark, c in found:
+                    place = packed(c["start"], c["count"], c["low"]) | mark
+                    zero = np.zeros(len(place), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[c["row"]], c["key"], c["full"], place, zero, zero == 0)], names=["did", "key", "full", "place", "origin", "wanted"])
         release()
 
     prepare_workers(texts.sparkSession)
     return texts.select("did", "text").mapInArrow(run, CELL)
 
 
-def stretches_of(texts: DataFrame, cells: DataFrame, window: int) -> DataFrame:
-    """The bytes that each cell covers, (did, place, wanted, stretch); a text meets all its cells at once."""
+def stretches_of(texts: DataFrame, cells: DataFrame, window: int, words: int | None) -> DataFrame:
+    """What each cell covers, bytes or hashed words, (did, place, wanted, stretch); a text meets all its cells at once."""
     # Rows of one id and text share their key: a set holds each cell of the text once, however many such rows there are.
     wanted = cells.groupBy("did").agg(F.collect_set(F.struct("place", "wanted")).alias("cells"))
     both = deflated(texts, ["did"], "text", "packed").join(wanted, "did").select("did", "packed", "cells.place", "cells.wanted")
@@ -240,10 +290,16 @@ def stretches_of(texts: DataFrame, cells: DataFrame, window: int) -> DataFrame:
             for at in range(0, whole.num_rows, 64):
                 out: list[tuple] = []
                 for row in whole.slice(at, 64).to_pylist():
-                    raw = zlib.decompress(row["packed"])
+                    raw, hashed = zlib.decompress(row["packed"]), None
                     for place, want in zip(row["place"], row["wanted"], strict=True):
                         start, count, _ = unpacked(place)
-                        out.append((row["did"], place, want, raw[start : start + count - 1 + window]))
+                        if place < WORDS:
+                            stretch = raw[start : start + count - 1 + window]
+                        else:
+                            if hashed is None:
+                                hashed = words_of([raw])[0]
+                            stretch = hashed[start : start + count - 1 + words].tobytes()
+                        out.append((row["did"], place, want, stretch))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["did", "place", "wanted", "stretch"])
 
@@ -251,48 +307,61 @@ def stretches_of(texts: DataFrame, cells: DataFrame, window: int) -> DataFrame:
     return both.mapInArrow(run, "did long, place long, wanted boolean, stretch binary")
 
 
-def cells_of_stretches(stretches: DataFrame, size: int, window: int, gram: int) -> DataFrame:
-    """Finer cells; ``origin`` is the place of the stretch."""
+def cells_of_stretches(stretches: DataFrame, k: int, window: int, gram: int, words: int | None) -> DataFrame:
+    """Finer cells, those of pass ``k``; ``origin`` is the place of the stretch."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 part = whole.slice(at, 2048)
                 did, place, wanted = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                given = part.column(3).to_pylist()
                 start, count, low = unpacked(place)
-                c = finer_cells(part.column(3).to_pylist(), low, count, window, gram, size)
-                row = c["row"]
-                fine = packed(start[row] + c["shift"], c["count"], c["low"])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[row], c["key"], c["full"], fine, place[row], wanted[row])], names=["did", "key", "full", "place", "origin", "wanted"])
+                for mark in (0, WORDS):
+                    here = np.flatnonzero(place & WORDS == mark)
+                    if not len(here):
+                        continue
+                    if mark:
+                        c = finer_cells([np.frombuffer(given[i], np.uint64) for i in here], low[here], count[here], words, WORD_GRAM, WORD_PASSES[k])
+                    else:
+                        c = finer_cells([given[i] for i in here], low[here], count[here], window, gram, PASSES[k])
+                    row = here[c["row"]]
+                    fine = packed(start[row] + c["shift"], c["count"], c["low"]) | mark
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[row], c["key"], c["full"], fine, place[row], wanted[row])], names=["did", "key", "full", "place", "origin", "wanted"])
 
     prepare_workers(stretches.sparkSession)
     return stretches.select("did", "place", "wanted", "stretch").mapInArrow(run, CELL)
 
 
-def narrowed(stretches: DataFrame, cells: DataFrame, window: int) -> DataFrame:
-    """The bytes of cells found within stretches."""
+def narrowed(stretches: DataFrame, cells: DataFrame, window: int, words: int | None) -> DataFrame:
+    """What cells found within stretches cover."""
     inner = cells.select("did", F.col("origin").alias("place"), F.col("place").alias("fine"), "wanted")
     start = lambda c: F.shiftright(c, 20)
-    size = F.shiftright("fine", 10).bitwiseAND(1023) - 1 + window
+    word = F.col("fine") >= WORDS
+    unit = F.when(word, 8).otherwise(1)
+    size = F.shiftright("fine", 10).bitwiseAND(1023) - 1 + F.when(word, words or 0).otherwise(window)
     both = stretches.select("did", "place", "stretch").distinct().join(inner, ["did", "place"])
-    return both.select("did", F.col("fine").alias("place"), "wanted", F.substring("stretch", (start("fine") - start("place") + 1).cast("int"), size.cast("int")).alias("stretch"))
+    return both.select("did", F.col("fine").alias("place"), "wanted", F.substring("stretch", ((start("fine") - start("place")) * unit + 1).cast("int"), (size * unit).cast("int")).alias("stretch"))
 
 
-def repeated_windows(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(did, place) of cells of (did, text) whose windows all start anywhere else as well."""
-    settled, onward = sort_pass(cells_of_texts(texts, window, gram), copies=True)
-    found = settled
-    stretches = cut(stretches_of(texts, onward, window))
-    for k, size in enumerate(PASSES[1:]):
-        settled, onward = sort_pass(cells_of_stretches(stretches, size, window, gram), copies=False)
+def repeated_windows(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, words: int | None = None) -> DataFrame:
+    """(did, place) of cells of (did, text) whose windows all start anywhere else as well; with ``words`` also of cells of windows of so many words."""
+    scratch = Scratch(texts.sparkSession)
+    found, onward, used = sort_pass(cells_of_texts(texts, window, gram, words), True, scratch)
+    stretches, at = scratch.keep(stretches_of(texts, onward, window, words))
+    for k in range(1, len(PASSES)):
+        scratch.drop(*used)
+        settled, onward, used = sort_pass(cells_of_stretches(stretches, k, window, gram, words), False, scratch)
         found = found.union(settled)
-        if k + 2 < len(PASSES):
-            stretches = cut(narrowed(stretches, onward, window))
+        used.append(at)
+        if k + 1 < len(PASSES):
+            stretches, at = scratch.keep(narrowed(stretches, onward, window, words))
+    scratch.drop(*used)
     return found
 
 
 def spans(places: list[int] | None, window: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes under the windows of cells."""
+    """Maximal runs of bytes, or of words, under the windows of cells."""
     if not places:
         return []
     start, count, _ = unpacked(np.sort(np.array(places, np.int64)))
@@ -301,7 +370,7 @@ def spans(places: list[int] | None, window: int) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), end[np.concatenate([new[1:], [len(start)]]) - 1].tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, keep: list[str] | None = None, words: int | None = None) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans (LONG) and ``kept`` BINARY.
 
     Texts are UTF-8 bytes; null and empty ones have none. Each byte under a
@@ -310,30 +379,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     on the input. ``kept`` is what is left, in order. Repeated rows are copies
     of each other. Clashing columns are replaced. ``window`` is at least
     ``gram`` and at most 1000.
+
+    With ``words``, from 4 to 1000, n_repeat_words (LONG) follows: the words
+    ``[^\\x20\\x09-\\x0D]+`` under strings of so many words that also start anywhere
+    else, whatever blanks part them and however many bytes they take. It
+    removes nothing.
     """
     keep = docs.columns if keep is None else keep
-    own = [c for c in keep if c.lower() not in {"n_bytes", "n_removed", "n_spans", "kept"}]
+    added = ["n_bytes", "n_removed", "n_spans", "kept", *(["n_repeat_words"] if words else [])]
+    own = [c for c in keep if c.lower() not in added]
     text = F.coalesce(F.col(text_col), F.lit(""))
     did = F.xxhash64(F.col(id_col), text)
     own_did, key, places_col, raw_col, packed_col = fresh(docs, "__did", "__key", "__places", "__text", "__packed")
-    found = repeated_windows(docs.select(did.alias("did"), text.alias("text")).where(F.octet_length("text") >= window), window, gram)
+    least = min(window, 2 * words - 1) if words else window
+    found = repeated_windows(docs.select(did.alias("did"), text.alias("text")).where(F.octet_length("text") >= least), window, gram, words)
     places = found.groupBy(F.col("did").alias(key)).agg(F.collect_set("place").alias(places_col))
     slim = deflated(docs.select(*own, did.alias(own_did), text.alias(raw_col)), [*own, own_did], raw_col, packed_col)
     both = slim.join(places, F.col(own_did) == F.col(key), "left").drop(own_did, key)
 
     def make():
         def work(texts, places_):
-            n, removed, runs, kept = [], [], [], []
+            n, removed, runs, kept, repeated = [], [], [], [], []
             for t, p in zip(texts, places_, strict=True):
                 raw = zlib.decompress(t)
-                gone = spans(p, window)
+                gone = spans([x for x in p or () if x < WORDS], window)
                 n.append(len(raw))
                 removed.append(sum(b - a for a, b in gone))
                 runs.append(len(gone))
                 kept.append(b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(raw)], strict=True)))
-            return n, removed, runs, kept
+                if words:
+                    repeated.append(sum(b - a for a, b in spans([x for x in p or () if x >= WORDS], words)))
+            return n, removed, runs, kept, *([repeated] if words else [])
 
         return work
 
-    fields = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
-    return map_columns(both, own, [packed_col, places_col], fields, make)
+    kinds = [T.StructField(c, T.BinaryType() if c == "kept" else T.LongType()) for c in added]
+    return map_columns(both, own, [packed_col, places_col], kinds, make)

@@ -87,3 +87,49 @@ def test_many_rows_without_an_id_take_linear_time(spark):
     assert len(found) == len(rows)
     assert {(r.n_bytes, r.n_removed, r.n_spans) for r in found if r.doc_id is None} == {(3000, 3000, 1)}
     assert {r.doc_id: r.n_removed for r in found if r.doc_id is not None} == {1: 1000, 2: 0}
+
+
+def brute_words(texts, words):
+    split = [(t or "").encode().split() for t in texts]
+    times = Counter(tuple(w[i : i + words]) for w in split for i in range(len(w) - words + 1))
+    out = []
+    for w in split:
+        under = {i + k for i in range(len(w) - words + 1) if times[tuple(w[i : i + words])] > 1 for k in range(words)}
+        out.append(len(under))
+    return out
+
+
+def test_passages_of_over_50_words_under_400_bytes(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9)))
+    blanks = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c"]
+    some = lambda n: "".join(word() + rng.choice(blanks) for _ in range(n))
+    short = " ".join(rng.choice("abcdefg") for _ in range(51))
+    shared = [some(n) for n in (50, 51, 52, 60, 83, 120, 200)] + [short]
+    texts = [None, "", " \n", "x", short + " own", "other " + "\n".join(short.split(" ")), "und " * 90, "a b " * 51]
+    for _ in range(40):
+        t = some(rng.randint(20, 150))
+        for s in rng.sample(shared, rng.randint(0, 3)):
+            t = t + s + some(rng.randint(0, 60))
+        texts.append(t)
+    texts += [texts[9], texts[10] + "\n" + texts[10], texts[11] + " more"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in remove_repeats(df, words=51).collect()}
+    want = brute_words(texts, 51)
+    assert [got[i].n_repeat_words for i in range(len(texts))] == want
+    assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for _, r in sorted(got.items())] == brute(texts, 400)
+    assert (got[4].n_repeat_words, got[4].n_removed) == (51, 0) and any(w and not got[i].n_removed for i, w in enumerate(want))
+
+
+def test_words_of_long_texts_do_not_depend_on_pieces(monkeypatch):
+    from newsengine.llm import repeats
+
+    rng = random.Random(12)
+    texts = [prose(rng, n, "abcdeé \n\t").encode() for n in (0, 1, 5, 700, 3000)] + [b"a" * 900, b"  " * 200]
+    whole = [x.tolist() for x in repeats.words_of(texts)]
+    assert [len(x) for x in whole] == [len(t.split()) for t in texts]
+    monkeypatch.setattr(repeats, "PIECE", 64)
+    assert [x.tolist() for x in repeats.words_of(texts)] == whole
+    cells = first_cells(repeats.words_of(texts), 51, 4, 32)
+    starts = Counter((r, s + k) for r, s, n in zip(cells["row"].tolist(), cells["start"].tolist(), cells["count"].tolist()) for k in range(n))
+    assert starts == Counter((i, s) for i, w in enumerate(whole) for s in range(len(w) - 50))
