@@ -636,8 +636,8 @@ def validate_payload(spark, d):
 @query("WITH w AS (SELECT event_type, value, epoch_ms(ts) // 1800000 AS slot, unnest(range(0, 12)) AS k FROM events) SELECT event_type, (slot - k) * 1800 AS window_start, count(*) AS n FROM w GROUP BY 1, 2")
 def sliding_counts(spark, d):
     """Messages per type in six-hour windows that slide by half an hour."""
-    w = A.log_events(spark, d).groupBy("event_name", F.window("ts", "6 hours", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
-    return w.select(F.col("event_name").alias("event_type"), F.unix_seconds("w.start").alias("window_start"), "n")
+    w = E.sliding_counts(A.log_events(spark, d))
+    return w.select(F.col("event_name").alias("event_type"), "window_start", "n")
 
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM s GROUP BY user_id, sid")
