@@ -1,14 +1,16 @@
 """Queries against their SQL on small tables of odd rows."""
 
+import random
 from datetime import datetime
 
 import duckdb
 
-from newsengine.plans import linkage, queries  # noqa: F401  register the queries
+from newsengine.operators.pairing import near_pairs
+from newsengine.plans import linkage, queries
 
 
 def plain(v):
-    return "null" if v is None else str(v)
+    return "null" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v)
 
 
 def both(spark, folder, name, table, rows, schema):
@@ -26,3 +28,29 @@ def test_sliding_counts_near_an_edge_without_a_time_and_before_1970(spark, tmp_p
     rows = [(k, t, 1, kind, 1.0, "{}") for k, t in enumerate(times) for kind in ("view", None)]
     got, want = both(spark, tmp_path, "sliding_counts", "events", rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
     assert got == want and ("view", "null", "24") in got
+
+
+def counted(rng, size):
+    """Random counts of eight words whose squares add up to ``size``."""
+    while True:
+        counts = [rng.choice([0, 0, 1, 2, 3, 5, 8, 12]) for _ in range(8)]
+        if sum(c * c for c in counts) == size:
+            return counts
+
+
+def test_pairs_at_exactly_the_mark(spark, tmp_path):
+    """The join of merge_check_limit, over counts whose cosine is 11 / 20, against its SQL."""
+    rng = random.Random(1)
+    docs = [counted(rng, 100) for _ in range(300)]
+    items = [counted(rng, 400 if k % 2 else 100) for k in range(40)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    assert sum(20 * dot(a, b) == 11 * round((dot(a, a) * dot(b, b)) ** 0.5) for a in docs for b in items) > 20
+    vec = lambda c: [0.0, *(x / dot(c, c) ** 0.5 for x in c), *[0.0] * 23]
+    frame = lambda rows, name: spark.createDataFrame([(k, vec(c)) for k, c in enumerate(rows)], f"{name} long, vec array<double>")
+    left, right = frame(docs, "left_id"), frame(items, "right_id")
+    for name, df in (("dv", left), ("bv", right)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    score = linkage.COSINE_SQL.format(a="d.vec", b="b.vec")
+    want = duckdb.sql(f"SELECT left_id, right_id, round({score}, 6) FROM '{tmp_path}/dv.parquet/*.parquet' d, '{tmp_path}/bv.parquet/*.parquet' b WHERE {score} >= 0.55").fetchall()
+    got = [tuple(r) for r in near_pairs(left, right, 0.55).select("left_id", "right_id", *queries.r6("score")).collect()]
+    assert sorted(got) == sorted(want)
