@@ -12,6 +12,7 @@ from newsengine.functions import lexicons as L
 EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 #: White space as the pages and texts have it: ASCII, no-break and other Unicode spaces.
 WS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -38,7 +39,7 @@ def squeeze(c: Column) -> Column:
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def tokenize_letters(c: Column) -> Column:
@@ -98,7 +99,8 @@ def extract_lead_paragraph(page: Column) -> Column:
 def split_sentences(c: Column) -> Column:
     """Pieces that end in . ; or : before white space; dots of abbreviations do not count."""
     mark = "\ue000"
-    held = F.regexp_replace(text_or_empty(c), rf"(?i)({L.ABBREVIATIONS})\.", f"$1{mark}")
+    # Found from the dots on, which are few; no abbreviation holds one.
+    held = F.regexp_replace(text_or_empty(c), rf"(?i)\.(?<=(?:{L.ABBREVIATIONS})\.)", mark)
     return F.filter(F.transform(F.split(held, rf"(?<=[.;:]){WS}+"), lambda s: trim_ws(F.replace(s, F.lit(mark), F.lit(".")))), lambda s: s != "")
 
 

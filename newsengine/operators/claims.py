@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from newsengine.functions import lexicons as L
 from newsengine.functions import text as X
-from newsengine.sources.shared import checkpointed
 
 VERSION = ["event_id", "version_id"]
 
@@ -27,11 +26,13 @@ def claim_sentences(articles: DataFrame) -> DataFrame:
     """One row per article and claim: (event_id, version_id, article_id, media_id, ord, sentence, norm, span).
 
     Sentences of at least 40 characters; of those that normalize alike in one
-    article the first stays. Articles are dealt out before they are split, so
-    a few large files still keep all tasks busy; spans are found on the spot,
-    so no sentence carries its article's text any further.
+    article the first stays. Texts are dealt out by event, once, before they are
+    split: all that follows up to status and sections is by event and version,
+    so nothing is shuffled or written again. The size limit of events bounds
+    what a task holds. Spans are found on the spot, so no sentence carries its
+    article's text any further.
     """
-    dealt = articles.select(*VERSION, "article_id", "media_id", source_text(F.col("title"), F.col("snippet")).alias("source")).repartition(*VERSION, "article_id")
+    dealt = articles.select(*VERSION, "article_id", "media_id", source_text(F.col("title"), F.col("snippet")).alias("source")).repartition("event_id")
     rows = dealt.select("*", F.posexplode(X.split_sentences(F.col("source"))).alias("pos", "sentence")).where(F.length("sentence") >= L.MIN_SENTENCE)
     rows = rows.select(*VERSION, "article_id", "media_id", "pos", "sentence", X.normalize_claim(F.col("sentence")).alias("norm"), F.struct("article_id", "pos").alias("ord"), quote_span(F.col("source"), F.col("sentence")).alias("span"))
     w = Window.partitionBy(*VERSION, "article_id", "norm").orderBy("pos")
@@ -50,67 +51,103 @@ def extract_claims(articles: DataFrame) -> DataFrame:
     """
     rows = claim_sentences(articles).withColumn("kind", X.classify_claim(F.col("sentence")))
     quote = F.struct("ord", "article_id", "media_id", F.substring("sentence", 1, L.MAX_QUOTE).alias("quote_text"), "span", X.quote_role(F.col("kind")).alias("role"))
-    per = rows.groupBy(*VERSION, "norm").agg(F.min_by("kind", "ord").alias("claim_type"), F.min("ord").alias("ord"), F.countDistinct("media_id").alias("media_count"), F.array_sort(F.collect_list(quote)).alias("q"))
+    per = rows.groupBy(*VERSION, "norm").agg(F.min_by("kind", "ord").alias("claim_type"), F.min("ord").alias("ord"), F.size(F.collect_set("media_id")).cast("long").alias("media_count"), F.array_sort(F.collect_list(quote)).alias("q"))
     quotes = F.transform("q", lambda x: F.struct(x["article_id"].alias("article_id"), x["media_id"].alias("media_id"), x["quote_text"].alias("quote_text"), x["span"]["span_start"].alias("span_start"), x["span"]["span_end"].alias("span_end"), X.quote_strength(x["quote_text"], F.col("media_count")).alias("strength"), x["role"].alias("role")))
     return per.select(*VERSION, claim_id().alias("claim_id"), F.col("norm").alias("claim_text"), "claim_type", "ord", "media_count", quotes.alias("quotes"))
 
 
-def top_tokens(claims: DataFrame, k: int = 5, keys: tuple[str, ...] = (*VERSION, "claim_id")) -> DataFrame:
-    """(keys, token, freq, rank): words over three letters by frequency.
+def token_ranks(text: Column, k: int) -> Column:
+    """ARRAY<STRUCT(token, freq)> of the ``k`` words over three letters that come first by frequency.
 
     At a tie whole numbers come first in order of value, then words in order
-    of first appearance.
+    of first appearance. Words are sorted once; runs of equal ones are counted
+    by where they begin.
     """
-    words = claims.select(*keys, F.posexplode(F.filter(F.split("claim_text", f"{X.WS}+"), lambda t: F.length(t) > 3)).alias("pos", "token"))
-    tf = words.groupBy(*keys, "token").agg(F.count("*").alias("freq"), F.min("pos").alias("pos"))
-    number = F.col("token").rlike("^(0|[1-9][0-9]{0,8}|[1-3][0-9]{9})$")
-    order = [F.col("freq").desc(), number.desc(), F.when(number, F.col("token").cast("long")), "pos"]
-    return tf.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k).select(*keys, "token", "freq", "rank")
+    placed = F.array_sort(F.transform(F.filter(F.split(text, f"{X.WS}+"), lambda t: F.length(t) > 3), lambda t, i: F.struct(t.alias("token"), i.alias("pos"))))
+
+    def starts(words: Column) -> Column:
+        numbered = F.transform(words, lambda w, i: F.struct(w["token"].alias("token"), w["pos"].alias("pos"), i.alias("at")))
+        return F.filter(numbered, lambda w: (w["at"] == 0) | (F.get(words, w["at"] - 1)["token"] != w["token"]))
+
+    def ranked(words: Column, runs: Column) -> Column:
+        def row(r: Column, i: Column) -> Column:
+            number = r["token"].rlike("^(0|[1-9][0-9]{0,8}|[1-3][0-9]{9})$")
+            freq = (F.coalesce(F.get(runs, i + 1)["at"], F.size(words)) - r["at"]).cast("long")
+            return F.struct((-freq).alias("less"), (~number).alias("word"), F.coalesce(F.when(number, r["token"].cast("long")), F.lit(0)).alias("value"), r["pos"].alias("pos"), r["token"].alias("token"))
+
+        return F.slice(F.array_sort(F.transform(runs, row)), 1, k)
+
+    top = X.let(placed, lambda words: X.let(starts(words), lambda runs: ranked(words, runs)))
+    return F.transform(top, lambda r: F.struct(r["token"].alias("token"), (-r["less"]).alias("freq")))
+
+
+def top_tokens(claims: DataFrame, k: int = 5, keys: tuple[str, ...] = (*VERSION, "claim_id")) -> DataFrame:
+    """(keys, token, freq, rank): the ``token_ranks`` of each claim, a row each."""
+    rows = claims.select(*keys, F.posexplode(token_ranks(F.col("claim_text"), k)).alias("pos", "t"))
+    return rows.select(*keys, "t.token", "t.freq", (F.col("pos") + 1).alias("rank"))
 
 
 def combinations(words: Column) -> Column:
-    """All pairs and all triples of a sorted array of at most five words, as arrays."""
+    """All pairs and all triples of a sorted array of at most five words, each joined by spaces."""
     rest = lambda at: F.slice(words, at + 2, 5)
-    pairs = F.flatten(F.transform(words, lambda x, i: F.transform(rest(i), lambda y: F.array(x, y))))
-    threes = F.flatten(F.transform(words, lambda x, i: F.flatten(F.transform(rest(i), lambda y, j: F.transform(rest(i + j + 1), lambda z: F.array(x, y, z))))))
-    return F.concat(pairs, threes)
+    pairs = F.flatten(F.transform(words, lambda x, i: F.transform(rest(i), lambda y: F.concat_ws(" ", x, y))))
+    threes = F.flatten(F.transform(words, lambda x, i: F.flatten(F.transform(rest(i), lambda y, j: F.transform(rest(i + j + 1), lambda z: F.concat_ws(" ", x, y, z))))))
+    return F.struct(pairs.alias("pairs"), threes.alias("threes"))
 
 
-def detect_contradictions(claims: DataFrame) -> DataFrame:
-    """(event_id, version_id, claim_id) of claims that contradict another one of their version.
+def with_contradictions(claims: DataFrame) -> DataFrame:
+    """``claims`` with contradicted: whether another claim of the version contradicts it.
 
     Claims contradict if they share two top tokens, both have numbers and the
     sets differ, or if they share three and just one says "no". No two claims
     meet: a claim counts towards each pair and each triple of its at most five
     top tokens, and where those of one pair have two number sets, or those of
     one triple are split on "no", every one of them has an opponent. So the
-    work is twenty rows a claim, however many claims share a word.
+    work is twenty small rows a claim, however many claims share a word; the
+    claim itself goes along in a row of its own, so that it is made once and
+    never joined.
     """
     no = r"(?<![A-Za-z0-9_])no(?![A-Za-z0-9_])"
-    keys = [*VERSION, "claim_id"]
-    words = top_tokens(claims).groupBy(*keys).agg(F.array_sort(F.collect_list("token")).alias("words")).where("size(words) >= 2")
-    facts = claims.select(*keys, F.array_join(F.array_sort(F.array_distinct(X.extract_numbers(F.col("claim_text")))), " ").alias("nums"), F.col("claim_text").rlike(no).cast("string").alias("neg"))
-    rows = checkpointed(words.join(facts, keys))
-    dealt = rows.select(*keys, F.explode(combinations(F.col("words"))).alias("shared"), "nums", "neg")
+    kept = F.struct(*claims.columns)
     # A pair asks for the numbers of claims that have some, a triple for whether they say "no".
-    told = dealt.select(*keys, "shared", F.when(F.size("shared") == 2, F.nullif("nums", F.lit(""))).otherwise(F.col("neg")).alias("told")).where("told is not null")
-    split = told.groupBy(*VERSION, "shared").agg(F.min("told").alias("a"), F.max("told").alias("b")).where("a <> b").select(*VERSION, "shared")
-    return told.join(split, [*VERSION, "shared"], "left_semi").select(*keys).distinct()
+    nums = F.array_join(F.array_sort(F.array_distinct(X.extract_numbers(F.col("claim_text")))), " ")
+    neg = F.col("claim_text").rlike(no).cast("string")
+    words = F.array_sort(F.transform(token_ranks(F.col("claim_text"), 5), lambda t: t["token"]))
+    none = F.lit(None).cast(claims.select(kept.alias("c")).schema["c"].dataType)
+    asked = lambda shared, told: F.transform(shared, lambda s: F.struct(none.alias("claim"), s.alias("shared"), told.alias("told")))
+    facts = claims.select(*VERSION, F.monotonically_increasing_id().alias("__id"), kept.alias("__claim"), F.struct(nums.alias("nums"), neg.alias("neg"), words.alias("words")).alias("__f"))
+    own = F.array(F.struct(F.col("__claim").alias("claim"), F.lit(None).cast("string").alias("shared"), F.lit(None).cast("string").alias("told")))
+    numbered = F.when(F.col("__f.nums") != "", asked(F.col("__s.pairs"), F.col("__f.nums")))
+    rows = facts.withColumn("__s", combinations(F.col("__f.words"))).select(*VERSION, "__id", F.inline(F.concat(own, F.coalesce(numbered, F.slice(own, 1, 0)), asked(F.col("__s.threes"), F.col("__f.neg")))))
+    same = Window.partitionBy(*VERSION, "shared")
+    split = F.coalesce(F.min("told").over(same) != F.max("told").over(same), F.lit(False))
+    found = rows.withColumn("__bad", split).where("__bad or claim is not null")
+    per = found.groupBy(*VERSION, "__id").agg(F.first("claim", ignorenulls=True).alias("claim"), F.max("__bad").alias("contradicted"))
+    return per.select("claim.*", "contradicted")
 
 
-def claim_status(claims: DataFrame, contradicted: DataFrame) -> DataFrame:
-    """``claims`` with status: DISPUTED, SUPPORTED or INSUFFICIENT."""
-    flag = contradicted.select(*VERSION, "claim_id").withColumn("__bad", F.lit(True))
+def detect_contradictions(claims: DataFrame) -> DataFrame:
+    """(event_id, version_id, claim_id) of claims that contradict another one of their version."""
+    return with_contradictions(claims).where("contradicted").select(*VERSION, "claim_id")
+
+
+def status_of(contradicted: Column) -> Column:
+    """DISPUTED, SUPPORTED or INSUFFICIENT of a claim with quotes."""
     medium = F.filter("quotes", lambda q: q["strength"] == "MEDIUM")
     strong = F.exists("quotes", lambda q: q["strength"] == "STRONG")
     both = (F.size(medium) >= 2) & (F.size(F.array_distinct(F.transform(medium, lambda q: q["media_id"]))) >= 2)
-    return claims.join(flag, [*VERSION, "claim_id"], "left").withColumn("status", F.when(F.col("__bad"), "DISPUTED").when(strong | both, "SUPPORTED").otherwise("INSUFFICIENT")).drop("__bad")
+    return F.when(contradicted, "DISPUTED").when(strong | both, "SUPPORTED").otherwise("INSUFFICIENT")
+
+
+def claim_status(claims: DataFrame, contradicted: DataFrame) -> DataFrame:
+    """``claims`` with status: DISPUTED, SUPPORTED or INSUFFICIENT."""
+    flag = contradicted.select(*VERSION, "claim_id").withColumn("__bad", F.lit(True))
+    return claims.join(flag, [*VERSION, "claim_id"], "left").withColumn("status", status_of(F.col("__bad"))).drop("__bad")
 
 
 def build_claims(articles: DataFrame) -> DataFrame:
-    """All of it for one set of event versions; the texts are read once, as the claims are written before they are compared."""
-    claims = checkpointed(extract_claims(articles))
-    return claim_status(claims, detect_contradictions(claims))
+    """All of it for one set of event versions; the texts are read, dealt out and split once."""
+    return with_contradictions(extract_claims(articles)).withColumn("status", status_of(F.col("contradicted"))).drop("contradicted")
 
 
 EXTRACTION = "claims array<struct<claim_text:string,claim_type:string,polarity:string,confidence:double,evidence:array<struct<source_url:string,quote:string>>>>"

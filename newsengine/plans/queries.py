@@ -422,8 +422,7 @@ def build_claims(spark, d):
 
 @query(f"WITH {CLAIM_SQL} SELECT event_id, norm AS claim_text FROM bad")
 def detect_contradictions(spark, d):
-    claims = C.extract_claims(A.document_articles(spark, d))
-    return C.detect_contradictions(claims).join(claims, ["event_id", "version_id", "claim_id"]).select("event_id", "claim_text")
+    return C.with_contradictions(C.extract_claims(A.document_articles(spark, d))).where("contradicted").select("event_id", "claim_text")
 
 
 @query(f"WITH {CLAIM_SQL} SELECT event_id, article_id, norm AS claim_text, strength, (nullif(position(sentence IN source), 0) - 1)::INT AS span_start, (nullif(position(sentence IN source), 0) - 1 + least(length(sentence), 240))::INT AS span_end FROM qs")
