@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,8 +35,13 @@ def bounded(pattern: str) -> str:
 
 
 def squeeze(c: Column) -> Column:
-    """Runs of white space become one space."""
-    return F.regexp_replace(c, f"{WS}+", " ")
+    """Runs of white space become one space; printable ASCII is passed over first."""
+    return F.regexp_replace(c, f"(?![!-~]){WS}+", " ")
+
+
+def holds(c: Column, words: str) -> Column:
+    """Whether a text holds any of some plain words with bars between them."""
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words.split("|")])
 
 
 def trim_ws(c: Column) -> Column:
@@ -105,17 +111,17 @@ def split_sentences(c: Column) -> Column:
 
 
 def normalize_claim(c: Column) -> Column:
-    return squeeze(F.regexp_replace(trim_ws(F.lower(c)), r"[^\p{L}\p{N}\s\u00A0]", ""))
+    return squeeze(F.regexp_replace(trim_ws(F.lower(c)), r"(?![a-z0-9 ])[^\p{L}\p{N}\s\u00A0]", ""))
 
 
 def classify_claim(c: Column) -> Column:
-    low = F.lower(c)
-    return F.when(c.rlike("[0-9]"), "QUANT").when(low.rlike(L.ALLEGATION), "ALLEGATION").when(low.rlike(L.FORECAST), "FORECAST").when(low.rlike(L.OPINION), "OPINION").otherwise("FACT")
+    kind = let(F.lower(c), lambda low: F.when(holds(low, L.ALLEGATION), "ALLEGATION").when(holds(low, L.FORECAST), "FORECAST").when(holds(low, L.OPINION), "OPINION").otherwise("FACT"))
+    return F.when(c.rlike("[0-9]"), "QUANT").otherwise(kind)
 
 
 def quote_strength(c: Column, media_count: Column) -> Column:
-    low = F.lower(c)
-    return F.when((media_count >= 2) | c.rlike("[0-9]") | low.rlike(L.ATTRIBUTED), "STRONG").when(low.rlike(L.HEDGED), "WEAK").when(F.length(c) >= 80, "MEDIUM").otherwise("WEAK")
+    kind = let(F.lower(c), lambda low: F.when(holds(low, L.ATTRIBUTED), "STRONG").when(holds(low, L.HEDGED), "WEAK").when(F.length(c) >= 80, "MEDIUM").otherwise("WEAK"))
+    return F.when((media_count >= 2) | c.rlike("[0-9]"), "STRONG").otherwise(kind)
 
 
 def quote_role(claim_type: Column) -> Column:

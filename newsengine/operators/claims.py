@@ -87,12 +87,12 @@ def top_tokens(claims: DataFrame, k: int = 5, keys: tuple[str, ...] = (*VERSION,
     return rows.select(*keys, "t.token", "t.freq", (F.col("pos") + 1).alias("rank"))
 
 
-def combinations(words: Column) -> Column:
-    """All pairs and all triples of a sorted array of at most five words, each joined by spaces."""
+def combinations(words: Column) -> tuple[Column, Column]:
+    """(all pairs, all triples) of a sorted array of at most five words, each joined by spaces."""
     rest = lambda at: F.slice(words, at + 2, 5)
     pairs = F.flatten(F.transform(words, lambda x, i: F.transform(rest(i), lambda y: F.concat_ws(" ", x, y))))
     threes = F.flatten(F.transform(words, lambda x, i: F.flatten(F.transform(rest(i), lambda y, j: F.transform(rest(i + j + 1), lambda z: F.concat_ws(" ", x, y, z))))))
-    return F.struct(pairs.alias("pairs"), threes.alias("threes"))
+    return pairs, threes
 
 
 def with_contradictions(claims: DataFrame) -> DataFrame:
@@ -109,21 +109,29 @@ def with_contradictions(claims: DataFrame) -> DataFrame:
     """
     no = r"(?<![A-Za-z0-9_])no(?![A-Za-z0-9_])"
     kept = F.struct(*claims.columns)
-    # A pair asks for the numbers of claims that have some, a triple for whether they say "no".
+    kind = claims.select(kept.alias("c")).schema["c"].dataType
+    item = lambda claim, shared, told: F.struct(claim.alias("claim"), shared.alias("shared"), told.alias("told"))
+    text = F.lit(None).cast("string")
+
+    def asked(facts: Column) -> Column:
+        # A pair asks for the numbers of claims that have some, a triple for whether they say "no".
+        pairs, threes = combinations(facts["words"])
+        every = lambda shared, told: F.transform(shared, lambda s: F.struct(s.alias("shared"), told.alias("told")))
+        return F.concat(every(F.when(facts["nums"] != "", pairs).otherwise(F.array().cast("array<string>")), facts["nums"]), every(threes, facts["neg"]))
+
     nums = F.array_join(F.array_sort(F.array_distinct(X.extract_numbers(F.col("claim_text")))), " ")
-    neg = F.col("claim_text").rlike(no).cast("string")
     words = F.array_sort(F.transform(token_ranks(F.col("claim_text"), 5), lambda t: t["token"]))
-    none = F.lit(None).cast(claims.select(kept.alias("c")).schema["c"].dataType)
-    asked = lambda shared, told: F.transform(shared, lambda s: F.struct(none.alias("claim"), s.alias("shared"), told.alias("told")))
-    facts = claims.select(*VERSION, F.monotonically_increasing_id().alias("__id"), kept.alias("__claim"), F.struct(nums.alias("nums"), neg.alias("neg"), words.alias("words")).alias("__f"))
-    own = F.array(F.struct(F.col("__claim").alias("claim"), F.lit(None).cast("string").alias("shared"), F.lit(None).cast("string").alias("told")))
-    numbered = F.when(F.col("__f.nums") != "", asked(F.col("__s.pairs"), F.col("__f.nums")))
-    rows = facts.withColumn("__s", combinations(F.col("__f.words"))).select(*VERSION, "__id", F.inline(F.concat(own, F.coalesce(numbered, F.slice(own, 1, 0)), asked(F.col("__s.threes"), F.col("__f.neg")))))
+    # What is bound by let is computed once a claim.
+    facts = F.struct(nums.alias("nums"), F.col("claim_text").rlike(no).cast("string").alias("neg"), words.alias("words"))
+    others = F.transform(X.let(facts, asked), lambda a: item(F.lit(None).cast(kind), a["shared"], a["told"]))
+    # Numbered before they are laid out, so that all rows of a claim have its number.
+    rows = claims.withColumn("__id", F.monotonically_increasing_id()).select(*VERSION, "__id", F.inline(F.concat(F.array(item(kept, text, text)), others)))
     same = Window.partitionBy(*VERSION, "shared")
     split = F.coalesce(F.min("told").over(same) != F.max("told").over(same), F.lit(False))
     found = rows.withColumn("__bad", split).where("__bad or claim is not null")
     per = found.groupBy(*VERSION, "__id").agg(F.first("claim", ignorenulls=True).alias("claim"), F.max("__bad").alias("contradicted"))
-    return per.select("claim.*", "contradicted")
+    # By the grouping's own columns, by which the rows are dealt out already.
+    return per.select(*[c if c in VERSION else F.col(f"claim.{c}").alias(c) for c in claims.columns], "contradicted")
 
 
 def detect_contradictions(claims: DataFrame) -> DataFrame:

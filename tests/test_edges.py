@@ -4,9 +4,10 @@ import random
 from datetime import datetime
 
 import duckdb
+import pytest
 
 from newsengine.operators.pairing import near_pairs
-from newsengine.plans import linkage, queries
+from newsengine.plans import linkage, parts, queries, single  # noqa: F401  register the queries
 
 
 def plain(v):
@@ -54,3 +55,13 @@ def test_pairs_at_exactly_the_mark(spark, tmp_path):
     want = duckdb.sql(f"SELECT left_id, right_id, round({score}, 6) FROM '{tmp_path}/dv.parquet/*.parquet' d, '{tmp_path}/bv.parquet/*.parquet' b WHERE {score} >= 0.55").fetchall()
     got = [tuple(r) for r in near_pairs(left, right, 0.55).select("left_id", "right_id", *queries.r6("score")).collect()]
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["build_claims", "detect_contradictions", "top_tokens", "overview_sections", "overview_bullets", "quality_flags", "claim_status", "claim_divergence"])
+def test_texts_of_claims_are_shuffled_once_and_nothing_is_written(spark, tmp_path, name):
+    rows = [(k, f"Title {k}\nThe council of the city said that it has {k % 3} new plans for schools. It has no plans for the harbour of the city.", "en", f"src{k % 3}") for k in range(40)]
+    got, want = both(spark, tmp_path, name, "documents", rows, "doc_id long, text string, lang string, source string")
+    assert got == want and got
+    plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    # One to deal a small file to all cores, one by event; claim_status also adds up a few rows.
+    assert plan.count("Exchange") <= (3 if name == "claim_status" else 2) and "ExistingRDD" not in plan
