@@ -123,7 +123,7 @@ def claim_divergence(claims: DataFrame, used: DataFrame | None = None, keys: tup
     if used is not None:
         live = live.join(used.select("claim_id"), "claim_id", "left_anti")
     rows = live.select(*keys, "ord", "claim_id", F.filter(X.whitespace_tokens(F.col("claim_text")), lambda t: F.length(t) > 3).alias("tokens"))
-    enough = rows.groupBy(*keys).count().where(F.col("count") >= least).select(*keys)
+    enough = rows.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("__n") >= least).drop("__n")
     kinds = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys] + ["label string", f"claim_ids array<{rows.schema['claim_id'].dataType.simpleString()}>"]
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
@@ -142,7 +142,7 @@ def claim_divergence(claims: DataFrame, used: DataFrame | None = None, keys: tup
                 return pd.DataFrame([[*(group[k].iloc[0] for k in keys), "RAMA: " + " ".join(shared[:3]), members]], columns=[*keys, "label", "claim_ids"])
         return pd.DataFrame(columns=[*keys, "label", "claim_ids"])
 
-    placed = rows.join(enough, list(keys), "left_semi").withColumn("__pos", F.row_number().over(Window.partitionBy(*keys).orderBy("ord", "claim_id"))).drop("ord")
+    placed = enough.withColumn("__pos", F.row_number().over(Window.partitionBy(*keys).orderBy("ord", "claim_id"))).drop("ord")
     return placed.groupBy(*keys).applyInPandas(fold, ", ".join(kinds))
 
 

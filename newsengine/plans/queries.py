@@ -548,7 +548,7 @@ SELECT event_id, 'RAMA: ' || array_to_string(c.s[1:3], ' ') AS label, c.n AS n_c
 @query(DIVERGENCE_SQL)
 def claim_divergence(spark, d):
     """First cluster of alike claims of every event, by a fold in order; the SQL takes one claim of every event a step."""
-    claims = C.build_claims(A.document_articles(spark, d)).withColumn("status", F.lit("SUPPORTED"))
+    claims = C.extract_claims(A.document_articles(spark, d)).withColumn("status", F.lit("SUPPORTED"))
     return P.claim_divergence(claims).select("event_id", "label", F.size("claim_ids").alias("n_claims"))
 
 
